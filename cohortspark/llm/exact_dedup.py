@@ -81,6 +81,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     rows = digests.count()
     marked = materialise(_flagged(digests, rows), "marked")
     groups = marked.where("suspect").groupBy("sha").agg(F.max_by("doc_id", _order()).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = small(materialise(groups, "groups"))  # written, so that a hot digest's rows can be split over tasks
     again = marked.where("suspect").join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(again)

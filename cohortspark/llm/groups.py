@@ -39,7 +39,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, keep: str | None = None, carry: tuple[str, ...] = ()
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: tuple[str, ...] = (), few: int = 32, common: int = 1, rounds: int = 12
 ) -> tuple[DataFrame, DataFrame]:
     """Links and components among ``members(bucket, id, *carry)``.
 
@@ -47,19 +47,23 @@ def link_buckets(
     is an SQL condition on a pair's carried columns (``x_a``, ``x_b``) that every
     link meets. ``carry`` columns depend on the id alone.
 
-    A bucket's members are compared with its centre, the member that shares the
-    most places with others, so a group of n copies costs n pairs and not n
-    squared. After ``rounds`` such rounds, whatever a bucket still holds in
-    different components is compared in full: no link inside a bucket is lost.
+    A bucket's members are compared with its centre, at first the member that
+    shares the most places with others, so a group of n copies costs n pairs and
+    not n squared. Members that are then in one component need no comparison. A
+    bucket that still holds several components gets another centre, outside the
+    first one's component. After two such rounds a bucket of at most ``few``
+    members is compared in full (pairs that meet in ``common`` buckets at
+    least); in larger ones the rounds go on, with other centres, until
+    two of them in turn find no link. Every round's cost is in proportion to the members.
     Returns ``(links(a, b), components(id, comp))``.
     """
     size = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
     shared = size.where("lo < hi").select("bucket", "n")
     live = materialise(members.join(shared, "bucket"), "bucket")
     degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
-    live = materialise(live.drop("n").join(degree, "id"), "bucket")
+    live = materialise(live.join(degree, "id"), "bucket")
 
-    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    def pairs_of(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
         x = left.select("bucket", F.col("id").alias("p"), F.col("label").alias("lp"), *[F.col(c).alias(f"{c}_p") for c in carry])
         y = right.select("bucket", F.col("id").alias("q"), F.col("label").alias("lq"), *[F.col(c).alias(f"{c}_q") for c in carry])
         both = x.join(y, "bucket").where("lp != lq and p < q" if left is right else "lp != lq")
@@ -68,37 +72,57 @@ def link_buckets(
         for c in carry:
             out += [F.when(first, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q")).alias(f"{c}_a"), F.when(first, F.col(f"{c}_q")).otherwise(F.col(f"{c}_p")).alias(f"{c}_b")]
         both = both.select(*out)
-        return (both.where(keep) if keep else both).select("a", "b").distinct()
-
-    def seen(pairs: DataFrame) -> DataFrame:
-        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        both = (both.where(keep) if keep else both).groupBy("a", "b").count().where(F.col("count") >= least).select("a", "b")
+        return both if tried is None else both.join(tried, ["a", "b"], "left_anti")
 
     links = tried = comps = None
-    for step in range(rounds + 1):
+
+    def mixed() -> DataFrame:
+        """Members of the buckets that hold more than one component."""
         if comps is None:
-            labelled = live.withColumn("label", F.col("id"))
-        else:
-            labelled = live.join(comps, "id", "left").withColumn("label", F.coalesce("comp", "id")).drop("comp")
+            return live.withColumn("label", F.col("id"))
+        labelled = live.join(comps, "id", "left").withColumn("label", F.coalesce("comp", "id")).drop("comp")
         span = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        labelled = materialise(labelled.join(span, "bucket", "left_semi"), "bucket")
-        if labelled.isEmpty():
-            break
-        if step < rounds:
-            rank = F.struct("degree", (-F.col("id")).alias("least"))
-            if step:  # another centre, outside the component of the one before
-                top = labelled.groupBy("bucket").agg(F.max_by("label", rank).alias("done"))
-                pool = labelled.join(top, "bucket").where("label != done").drop("done")
-            else:
-                pool = labelled
-            lead = pool.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"), "label", *carry)).alias("c"))
-            lead = lead.select("bucket", (-F.col("c.least")).alias("id"), F.col("c.label").alias("label"), *[F.col(f"c.{c}").alias(c) for c in carry])
-            pairs = materialise(seen(pairs_of(lead, labelled)), "pairs")
-        else:
-            pairs = materialise(seen(pairs_of(labelled, labelled)), "pairs")
+        return materialise(labelled.join(span, "bucket", "left_semi"), "bucket")
+
+    def learn(pairs: DataFrame) -> bool:
+        """Verify ``pairs`` and update the components; whether there was a link."""
+        nonlocal links, tried, comps
+        pairs = materialise(pairs, "pairs")
         found = materialise(verify(pairs).select("a", "b"), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if comps is not None and found.isEmpty():
+            return False
         links = found if links is None else links.unionByName(found)
         comps = components(links)
+        return True
+
+    def led(rows: DataFrame, turn: int) -> DataFrame:
+        """Each bucket's centre of this turn."""
+        pool = rows
+        if turn:
+            top = rows.groupBy("bucket").agg(F.max_by("label", F.struct("degree", "id")).alias("done"))
+            pool = rows.join(top, "bucket").where("label != done").drop("done")
+        rank = F.col("degree") if turn < 2 else F.xxhash64("id", F.lit(turn))
+        lead = pool.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("least"), "label", *carry)).alias("c"))
+        return lead.select("bucket", (-F.col("c.least")).alias("id"), F.col("c.label").alias("label"), *[F.col(f"c.{c}").alias(c) for c in carry])
+
+    barren = 0
+    for turn in range(rounds):
+        rows = mixed()
+        if turn == 2:
+            low = rows.where(F.col("n") <= few)
+            learn(pairs_of(low, low, common))
+            rows = mixed()
+        if turn >= 2:
+            rows = rows.where(F.col("n") > few)
+        if rows.isEmpty():
+            if turn != 2:
+                break
+            continue
+        barren = 0 if learn(pairs_of(led(rows, turn), rows)) else barren + 1
+        if turn >= 2 and barren == 2:
+            break
     if links is None:
         spark = members.sparkSession
         return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")

@@ -1,8 +1,9 @@
 """Near-duplicates by probability Jaccard: ProbMinHash, banding, verification.
 
 A text's words are its runs of word characters, lower-cased; its shingles are
-all runs of five words (a text of one to four words is one shingle), weighted by
-how often they occur. Every shingle is a Poisson process whose rate is its
+all runs of five words (a text of one to four words is one shingle), weighted
+1 + ln(count), so that one line repeated hundreds of times does not outweigh the
+rest of a text. Every shingle is a Poisson process whose rate is its
 weight; each arrival falls on one of the signature's registers and the register
 keeps its earliest one. A process is followed until it is later than every
 register of the text, so a text of n shingles costs about n + m ln m arrivals
@@ -11,7 +12,8 @@ similarity of their weighted shingles.
 
 Texts with the same words are one node. Bands of registers give buckets;
 ``link_buckets`` finds candidate pairs in them, and each is verified on the
-whole texts: exact probability Jaccard of at least ``threshold``.
+whole texts: the exact probability Jaccard, or the plain Jaccard of the two sets
+of shingles, is at least ``threshold``.
 
 Defined results: a null or wordless text has no shingle and is alone in its
 class. Rows that repeat a doc_id are one document. A class is a connected
@@ -68,6 +70,12 @@ def shingles(words: list[str], hashes: _Hashes, k: int = WORDS) -> np.ndarray:
     return _mix(out)
 
 
+def weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles in order and their weights."""
+    found, count = np.unique(hashes, return_counts=True)
+    return found, 1.0 + np.log(count)
+
+
 def signatures(elements: list[np.ndarray], weights: list[np.ndarray], m: int) -> np.ndarray:
     """A row of m registers for each weighted set; no set may be empty."""
     out = np.zeros((len(elements), m), _U)
@@ -137,6 +145,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(np.sum(1.0 / (low[last][on] / wa[on] + high[last][on] / wb[on])))
 
 
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The larger of probability Jaccard and plain Jaccard."""
+    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    plain = both / (len(a[0]) + len(b[0]) - both)
+    return max(plain, probability_jaccard(a, b))
+
+
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -155,7 +170,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> I
                         continue
                     ids.append(key)
                     content.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sets.append(np.unique(s, return_counts=True))
+                    sets.append(weighted(s))
                     count.append(len(sets[-1][0]))
                 if not ids:
                     continue
@@ -174,17 +189,17 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
     hashes = _Hashes()
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def weighted(key: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    def of(key: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         if key not in held:
             if len(held) >= 64:
                 held.clear()
             with np.errstate(over="ignore"):
-                held[key] = np.unique(shingles(_words(text.as_py()), hashes, k), return_counts=True)
+                held[key] = weighted(shingles(_words(text.as_py()), hashes, k))
         return held[key]
 
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = [i for i in range(len(a)) if probability_jaccard(weighted(a[i], batch.column(2)[i]), weighted(b[i], batch.column(3)[i])) >= threshold - 1e-9]
+        keep = [i for i in range(len(a)) if similarity(of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])) >= threshold - 1e-9]
         yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
@@ -208,7 +223,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORD
         both = both.join(body.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compare(it, k, threshold), "a long, b long")
 
-    links, comps = link_buckets(members, verify)
+    links, comps = link_buckets(members, verify, common=2)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = node.select("content", "id").join(comps, "id", "left").join(degree, "id", "left")
     named = named.select("content", F.coalesce("comp", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
