@@ -28,10 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, what: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, is computed once, and outlives lost executors.
+    :func:`release` deletes it unless ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -39,7 +40,8 @@ def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
