@@ -7,14 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, quality
-from .common import table
+from . import audio, chat, exact_dedup, minhash, mixing, packing, quality, toxicity, urls
+from .common import materialise, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,19 +27,34 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], said.schema)
+    return chat.digests(materialise(chat.expand(said.unionByName(more)), "chat"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path, with_ids=False).drop("ids")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op3_mixing, op4_exact_dedup, op7_best_fit_packing, op10_minhash_near_dedup]
+    found = [op1_quality_classifier, op2_audio_features, op3_mixing, op4_exact_dedup, op5_chat_formatting, op6_toxicity, op7_best_fit_packing, op9_url_filter, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.sql()}
+    return {"op4_exact_dedup": exact_dedup.sql(), "op9_url_filter": urls.sql()}
