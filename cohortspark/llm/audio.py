@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import materialise, texts
 
 FRAME_BYTES = 192
 RATE, UP, DOWN = 12_000, 2, 3
@@ -170,47 +170,60 @@ def _feature(found: dict) -> str:
     return f"frames={found['frames']};tensors={len(found['tensors'])};segments={len(found['segments'])};seconds={inside:.3f};mel={mean};sha={stored}"
 
 
-def extract(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """A row for each tensor: ``doc_id, part, start_s, stop_s, tensor, segments, media``.
+def extract(media: DataFrame) -> DataFrame:
+    """A row for each tensor of the stored files: ``doc_id, part, start_s, stop_s, tensor, segments``.
 
     ``tensor`` is the storage of the fixed-shape tensor (``array<float>`` of
-    TENSOR_FRAMES x MELS, row by row); segments in seconds and the stored file
-    are on a document's first row.
+    TENSOR_FRAMES x MELS, row by row); segments, in seconds, are on a document's
+    first row.
     """
-    kinds = "doc_id long, part int, start_s double, stop_s double, tensor array<float>, segments array<struct<start_s: double, stop_s: double>>, media binary"
+    kinds = "doc_id long, part int, start_s double, stop_s double, tensor array<float>, segments array<struct<start_s: double, stop_s: double>>"
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                media = encode(payload(text.as_py()))
-                found = analyse(media)
+            for key, stored in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                found = analyse(stored.as_py())
                 n = len(found["tensors"])
                 rest = [None] * (n - 1)
                 columns = [
                     pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([a for a, _ in found["spans"]], pa.float64()), pa.array([b for _, b in found["spans"]], pa.float64()),
-                    tensor_array(found["tensors"]).storage.cast(pa.list_(pa.float32())), pa.array([found["segments"], *rest], span), pa.array([media if with_media else None, *rest], pa.binary()),
+                    tensor_array(found["tensors"]).storage.cast(pa.list_(pa.float32())), pa.array([found["segments"], *rest], span),
                 ]
-                yield pa.record_batch(columns, names=["doc_id", "part", "start_s", "stop_s", "tensor", "segments", "media"])
+                yield pa.record_batch(columns, names=["doc_id", "part", "start_s", "stop_s", "tensor", "segments"])
 
-    return texts(docs).mapInArrow(of, kinds)
+    return media.mapInArrow(of, kinds)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """A row for each document: what was stored, what was read back, and its features."""
+def store(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media`` for each row of ``docs(doc_id, text)``, written to the shared folder.
+
+    ``n_bytes`` is the unpadded length in bytes.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.as_py() for t in batch.column(1)]
+            sizes = pa.array([len(t.encode("utf-8")) for t in raw], pa.int64())
+            yield pa.record_batch([batch.column(0), sizes, pa.array([encode(payload(t)) for t in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return materialise(texts(docs).mapInArrow(of, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """A row for each stored document: what is read back, and its features."""
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                media = encode(payload(text))
-                found = analyse(media)
+            for key, size, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                stored = stored.as_py()
+                found = analyse(stored)
                 back = found["samples"]
-                out.append((key, len(text.encode("utf-8")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), _feature(found)))
+                out.append((key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), _feature(found)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in kinds.split(", ")])
 
-    return texts(docs).mapInArrow(of, kinds)
+    return media.mapInArrow(of, kinds)

@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, what: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, what: str, partition_by: str | None = None, keep: bool = False, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, is computed once, and outlives lost executors.
@@ -36,7 +36,7 @@ def materialise(df: DataFrame, what: str, partition_by: str | None = None, keep:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -72,7 +72,7 @@ def _flagged(digests: DataFrame, rows: int) -> DataFrame:
 
 
 def _order() -> Column:
-    return F.struct("chars", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1).cast("long")).alias("least"))
+    return F.struct("chars", F.col("doc_id").isNotNull().alias("named"), F.bitwise_not("doc_id").alias("least"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:

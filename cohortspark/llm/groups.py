@@ -28,7 +28,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(rest.unionByName(down.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "cc")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)), F.sum("v")).first())
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break
         before = now
@@ -39,13 +39,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: tuple[str, ...] = (), few: int = 32, common: int = 1, rounds: int = 12
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, common: int = 1, rounds: int = 12
 ) -> tuple[DataFrame, DataFrame]:
-    """Links and components among ``members(bucket, id, *carry)``.
+    """Links and components among ``members(bucket, id)``.
 
     ``verify`` takes pairs ``(a, b)`` and returns those that are links. ``keep``
-    is an SQL condition on a pair's carried columns (``x_a``, ``x_b``) that every
-    link meets. ``carry`` columns depend on the id alone.
+    is an SQL condition that every link meets, on the columns of ``carry(id, x)``
+    as ``x_a`` and ``x_b``.
 
     A bucket's members are compared with its centre, at first the member that
     shares the most places with others, so a group of n copies costs n pairs and
@@ -57,11 +57,13 @@ def link_buckets(
     two of them in turn find no link. Every round's cost is in proportion to the members.
     Returns ``(links(a, b), components(id, comp))``.
     """
-    size = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-    shared = size.where("lo < hi").select("bucket", "n")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = materialise(members.join(shared, "bucket"), "bucket")
-    degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
-    live = materialise(live.join(degree, "id"), "bucket")
+    about = live.groupBy("id").agg(F.sum("n").alias("degree"))
+    if carry is not None:
+        about = about.join(carry, "id")
+    live = materialise(live.join(about, "id"), "bucket")
+    carry = tuple(c for c in carry.columns if c != "id") if carry is not None else ()
 
     def pairs_of(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
         x = left.select("bucket", F.col("id").alias("p"), F.col("label").alias("lp"), *[F.col(c).alias(f"{c}_p") for c in carry])
@@ -104,8 +106,8 @@ def link_buckets(
             top = rows.groupBy("bucket").agg(F.max_by("label", F.struct("degree", "id")).alias("done"))
             pool = rows.join(top, "bucket").where("label != done").drop("done")
         rank = F.col("degree") if turn < 2 else F.xxhash64("id", F.lit(turn))
-        lead = pool.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("least"), "label", *carry)).alias("c"))
-        return lead.select("bucket", (-F.col("c.least")).alias("id"), F.col("c.label").alias("label"), *[F.col(f"c.{c}").alias(c) for c in carry])
+        lead = pool.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), F.bitwise_not("id").alias("least"), "label", *carry)).alias("c"))
+        return lead.select("bucket", F.bitwise_not("c.least").alias("id"), F.col("c.label").alias("label"), *[F.col(f"c.{c}").alias(c) for c in carry])
 
     barren = 0
     for turn in range(rounds):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, exact_dedup, minhash, mixing, packing, quality, toxicity, urls
+from . import audio, chat, exact_dedup, lines, minhash, mixing, packing, quality, toxicity, urls
 from .common import materialise, table
 
 
@@ -16,7 +16,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(table(spark, sf_dir, "documents"))
+    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, with_ids=False).drop("ids")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_audio_features, op3_mixing, op4_exact_dedup, op5_chat_formatting, op6_toxicity, op7_best_fit_packing, op9_url_filter, op10_minhash_near_dedup]
+    found = [op1_quality_classifier, op2_audio_features, op3_mixing, op4_exact_dedup, op5_chat_formatting, op6_toxicity, op7_best_fit_packing, op8_line_dedup, op9_url_filter, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
