@@ -30,7 +30,6 @@ without any cue, all scores are 0. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,7 @@ from .common import held_out, texts
 
 BITS, WINDOW = 18, 64
 #: Most labelled documents of either kind that are learnt from, the first by a hash of their id.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 #: A cue occurs in so many toxic documents at least, and clean documents are at most this share of its documents.
 CUE_ROWS, CUE_CLEAN = 3, 0.06
 #: How likely a cue's documents are all toxic by accident, at most.
@@ -61,13 +60,49 @@ def word_features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x) >> (32 - BITS) for x in names]
 
 
-def _cue_names(word: str) -> list[str]:
-    return [word[:n] for n in range(3, 9) if len(word) > n] + ([word + "$"] if len(word) > 1 else [])
+_U = np.uint64
 
 
-def copies(words: list[list[str]]) -> list[int]:
+def cue_hashes(word: str) -> list[tuple[int, int]]:
+    """Hash and rank of each beginning of three to eight characters, and of the whole word.
+
+    Among cues that explain as much, the longest beginning goes first, then the shortest whole word.
+    """
+    out = [(xxhash.xxh64_intdigest(word[:n]) >> 1, n) for n in range(3, 9) if len(word) > n]
+    return out + ([(xxhash.xxh64_intdigest(word + "$") >> 1, -min(len(word), 99))] if len(word) > 1 else [])
+
+
+class Corpus:
+    """Documents as numbers of words in one vocabulary, with the hashes that cues are made of."""
+
+    def __init__(self, texts_: list[str], toxic: list[bool]):
+        held: dict[str, int] = {}
+        self.docs = [np.array([held.setdefault(w, len(held)) for w in t.split()], np.int32) for t in texts_]
+        self.toxic = np.array(toxic, bool)
+        self.words = list(held)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in held], _U)
+        names, ranks, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.zeros(1, np.int64)]
+        for a in range(0, len(self.words), 20_000):  # arrays piece by piece: lists of all would be large
+            part = [cue_hashes(w) for w in self.words[a : a + 20_000]]
+            names.append(np.array([h for n in part for h, _ in n], np.int64))
+            ranks.append(np.array([r for n in part for _, r in n], np.int8))
+            sizes.append(np.array([len(n) for n in part], np.int64))
+        self.names, self.ranks, self.first = np.concatenate(names), np.concatenate(ranks), np.cumsum(np.concatenate(sizes))
+
+    def names_of(self, words: np.ndarray) -> np.ndarray:
+        """Places in ``names`` of some words' hashes."""
+        size = self.first[words + 1] - self.first[words]
+        return np.repeat(self.first[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def some(self, which: np.ndarray) -> Corpus:
+        out = object.__new__(Corpus)
+        out.__dict__ |= self.__dict__ | {"docs": [self.docs[i] for i in which], "toxic": self.toxic[which]}
+        return out
+
+
+def copies(corpus: Corpus) -> np.ndarray:
     """A group number for each document; near copies have the same one (bands of a small MinHash)."""
-    group = list(range(len(words)))
+    group = list(range(len(corpus.docs)))
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -75,68 +110,81 @@ def copies(words: list[list[str]]) -> list[int]:
             i = group[i]
         return i
 
-    odd = np.random.default_rng(3).integers(1, 2**62, 48, dtype=np.uint64) | np.uint64(1)
+    odd = np.random.default_rng(3).integers(1, 2**62, 48, dtype=_U) | _U(1)
     seen: dict[tuple[int, bytes], int] = {}
-    for i, own in enumerate(words):
-        if own:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in set(own)], np.uint64)
+    for i, own in enumerate(corpus.docs):
+        if len(own):
             with np.errstate(over="ignore"):
-                low = ((h[:, None] * odd[None, :]) >> np.uint64(20)).min(axis=0)
+                low = ((corpus.hashes[np.unique(own)][:, None] * odd[None, :]) >> _U(20)).min(axis=0)
             for b in range(6):
                 j = seen.setdefault((b, low[8 * b : 8 * b + 8].tobytes()), i)
                 group[root(i)] = root(j)
-    return [root(i) for i in range(len(words))]
-
-
-def find_cues(words: list[list[str]], toxic: list[bool]) -> tuple[set[str], set[str]]:
-    """Cues, and the ordinary words that are never toxic tokens whatever they begin with.
-
-    Cues are word beginnings (``abc``) and whole words (``abc$``). Every other
-    clean document tells which words are ordinary; the rest of them tell how
-    often a cue's other words meet in clean documents. Near copies count as one
-    document, and a cue must be no likely accident of so many draws. Cues that
-    explain nothing new are taken too if they are beyond all doubt.
+    return np.array([root(i) for i in range(len(group))], np.int64)
+
+
+def _met(corpus: Corpus, which: np.ndarray, group: np.ndarray, ordinary: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (name, group) pairs of the documents ``which``, ordinary words apart, sorted by name."""
+    names, groups = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in which:
+        own = np.unique(corpus.docs[i])
+        found = np.unique(corpus.names[corpus.names_of(own[~ordinary[own]])])
+        if among is not None:
+            found = found[np.isin(found, among, assume_unique=True)]
+        names.append(found)
+        groups.append(np.full(len(found), group[i]))
+    name, of = np.concatenate(names), np.concatenate(groups)
+    order = np.lexsort((of, name))
+    name, of = name[order], of[order]
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (of[1:] != of[:-1])
+    return name[new], of[new]
+
+
+def find_cues(corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the cues, and which words are ordinary: never toxic tokens whatever they begin with.
+
+    Cues are word beginnings and whole words. Every other clean document tells
+    which words are ordinary; the rest of them tell how often a cue's other words
+    meet in clean documents. Near copies count as one document, and a cue must be
+    no likely accident of so many draws. Cues that explain nothing new are taken
+    too if they are beyond all doubt.
     """
-    group = copies(words)
-    bad_in, clean_in = Counter(), Counter()
-    clean = [i for i, bad in enumerate(toxic) if not bad]
-    for i, own in enumerate(words):
-        if toxic[i]:
-            bad_in.update(set(own))
+    group = copies(corpus)
+    bad, clean = np.flatnonzero(corpus.toxic), np.flatnonzero(~corpus.toxic)
+    bad_in, clean_in = np.zeros(len(corpus.words), np.int64), np.zeros(len(corpus.words), np.int64)
+    for i in bad:
+        bad_in[np.unique(corpus.docs[i])] += 1
     for i in clean[::2]:
-        clean_in.update(set(words[i]))
-    ordinary = {w for w, n in clean_in.items() if 4 * n >= bad_in[w]}
-    where: dict[str, set[int]] = defaultdict(set)
-    met: dict[str, set[int]] = defaultdict(set)
-    names: dict[str, list[str]] = {}
-    for i, own in enumerate(words):
-        if toxic[i]:
-            for w in set(own) - ordinary:
-                for n in names.setdefault(w, _cue_names(w)):
-                    where[n].add(group[i])
-    where = {n: d for n, d in where.items() if len(d) >= CUE_ROWS}
-    for i in clean[1::2]:
-        for w in set(words[i]) - ordinary:
-            for n in names.setdefault(w, _cue_names(w)):
-                if n in where:
-                    met[n].add(group[i])
-    every = {group[i] for i, bad in enumerate(toxic) if bad}
-    others = max(1, len({group[i] for i in clean[1::2]}))
-    draw = np.log(len(every) / (len(every) + others)) if every else 0.0  # of a document being toxic
+        clean_in[np.unique(corpus.docs[i])] += 1
+    ordinary = (clean_in > 0) & (4 * clean_in >= bad_in)
+    none = np.empty(0, np.int64)
+    name, of = _met(corpus, bad, group, ordinary, None)
+    if not len(name):
+        return none, ordinary
+    start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    size = np.diff(np.concatenate([start, [len(name)]]))
+    start, size = start[size >= CUE_ROWS], size[size >= CUE_ROWS]
+    where = {int(name[a]): set(of[a : a + n].tolist()) for a, n in zip(start, size, strict=True)}
+    known, counts = np.unique(_met(corpus, clean[1::2], group, ordinary, name[start])[0], return_counts=True)
+    met = dict.fromkeys(where, 0) | dict(zip(known.tolist(), counts.tolist(), strict=True))
+    by, at = np.unique(corpus.names, return_index=True)
+    rank = {n: int(corpus.ranks[at[np.searchsorted(by, n)]]) for n in where}
+    every = set(group[bad].tolist())
+    others = max(1, len(set(group[clean[1::2]].tolist())))
+    draw = np.log(len(every) / (len(every) + others))  # of a document being toxic
     scale = len(every) / others
-    usable = {n: d for n, d in where.items() if len(met[n]) * scale <= CUE_CLEAN * len(d) and len(d) * draw < np.log(CUE_CHANCE)}
-    sure = {n for n, d in usable.items() if len(met[n]) * scale <= CUE_CLEAN / 3 * len(d) and len(d) * draw < np.log(CUE_CHANCE) * 3}
-    left = set(every)
-    chosen: set[str] = set()
+    usable = {n: d for n, d in where.items() if met[n] * scale <= CUE_CLEAN * len(d) and len(d) * draw < np.log(CUE_CHANCE)}
+    sure = [n for n, d in usable.items() if met[n] * scale <= CUE_CLEAN / 3 * len(d) and len(d) * draw < np.log(CUE_CHANCE) * 3]
+    left, chosen = set(every), []
     while left and usable and len(chosen) < CUES:
         gain = {n: len(d & left) for n, d in usable.items()}
-        best = max(usable, key=lambda n: (gain[n] - 4 * scale * len(met[n]), -len(n) if n[-1] == "$" else len(n), n))
+        best = max(usable, key=lambda n: (gain[n] - 4 * scale * met[n], rank[n], n))
         if gain[best] < CUE_ROWS:
             break
-        chosen.add(best)
+        chosen.append(best)
         left -= usable.pop(best)
         usable = {n: d for n, d in usable.items() if gain.get(n, 0) >= CUE_ROWS}
-    return chosen | sure, ordinary
+    return np.unique(np.array(chosen + sure, np.int64)), ordinary
 
 
 def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,21 +231,21 @@ def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(start, sizes) + within // WINDOW, within % WINDOW, int(count.sum())
 
 
-def train(words: list[list[str]], toxic: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def train(corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Emission, transition and document weights; None where there is nothing to tell apart.
 
     Three quarters of the documents train the chain; all but those calibrate
     how a document's marginals make its score.
     """
-    first = [i for i in range(len(words)) if i % 4]
-    chain = _train_chain([words[i] for i in first], [toxic[i] for i in first])
+    every = np.arange(len(corpus.docs))
+    chain = _train_chain(corpus.some(every[every % 4 != 0]))
     if chain is None:
         return None
     emit = _Emissions(chain[0])
-    rest = [i for i in range(len(words)) if not i % 4 and words[i]]
-    p = _chances([np.array([emit[w] for w in words[i]]) for i in rest], chain[1])
+    rest = [i for i in every[::4] if len(corpus.docs[i])]
+    p = _chances([np.array([emit[corpus.words[w]] for w in corpus.docs[i]]) for i in rest], chain[1])
     x = np.array([_evidence(q) for q in p]).reshape(-1, 3)
-    y = np.array([toxic[i] for i in rest], float)
+    y = corpus.toxic[rest].astype(float)
     weights = np.array([0.0, 1.0, 0.0])
     prior = weights.copy()
     for _ in range(100):  # short Newton steps for a logistic regression, drawn to the prior
@@ -215,43 +263,51 @@ def _evidence(p: np.ndarray) -> tuple[float, float, float]:
     return 1.0, float(np.log(np.expm1(min(joint, 30.0)))), float(np.log1p(len(some)))
 
 
-def _train_chain(words: list[list[str]], toxic: list[bool]) -> tuple[np.ndarray, np.ndarray] | None:
-    cues, ordinary = find_cues(words, toxic)
-    if not cues:
+def _features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words' features end to end, and how many each has."""
+    flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for a in range(0, len(vocabulary), 20_000):
+        part = [word_features(w) for w in vocabulary[a : a + 20_000]]
+        flat.append(np.array([f for own in part for f in own], np.int32))
+        sizes.append(np.array([len(own) for own in part], np.int64))
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+def _train_chain(corpus: Corpus) -> tuple[np.ndarray, np.ndarray] | None:
+    cues, ordinary = find_cues(corpus)
+    if not len(cues):
         return None
-    hit: dict[str, bool] = {}
-    begins = lambda w: hit.setdefault(w, any(n in cues for n in _cue_names(w)))
-    vocabulary: dict[str, int] = {}
+    begins = np.zeros(len(corpus.words), bool)
+    owner = np.repeat(np.arange(len(corpus.words)), np.diff(corpus.first))
+    begins[owner[np.isin(corpus.names, cues)]] = True
     sequences, targets = [], []
     rng = np.random.default_rng(7)
-    for own, bad in zip(words, toxic, strict=True):
+    for own, bad in zip(corpus.docs, corpus.toxic, strict=True):
         for a in range(0, len(own), WINDOW):
             part = own[a : a + WINDOW]
-            near = [begins(w) for w in part]
-            y = [bad and n and w not in ordinary for n, w in zip(near, part, strict=True)]
-            if any(near) or rng.random() < 0.15:
-                sequences.append([vocabulary.setdefault(w, len(vocabulary)) for w in part])
-                targets.append(y)
+            if begins[part].any() or rng.random() < 0.15:
+                sequences.append(part)
+                targets.append(begins[part] & ~ordinary[part] if bad else np.zeros(len(part), bool))
+    used, ids = np.unique(np.concatenate(sequences), return_inverse=True)
+    vocabulary = [corpus.words[w] for w in used]
     sizes = np.array([len(s) for s in sequences])
     row, place, n = _windows(sizes)
-    ids = np.concatenate([np.array(s) for s in sequences])
     y = np.zeros((n, WINDOW), bool)
-    y[row, place] = np.concatenate([np.array(t) for t in targets])
+    y[row, place] = np.concatenate(targets)
     mask = np.zeros((n, WINDOW), bool)
     mask[row, place] = True
-    feats = [word_features(w) for w in vocabulary]
-    flat = np.array([f for fs in feats for f in fs])
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    flat, sizes_of = _features(vocabulary)
+    owner = np.repeat(np.arange(len(vocabulary)), sizes_of)
     observed = np.array([[(mask[:, 1:] & (y[:, :-1] == bool(a)) & (y[:, 1:] == bool(b))).sum() for b in (0, 1)] for a in (0, 1)], float)
     w, t = np.zeros(1 << BITS), np.zeros((2, 2))
     gw, gt = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(EPOCHS):
-        score = np.bincount(owner, w[flat], len(feats))
+        score = np.bincount(owner, w[flat], len(vocabulary))
         e = np.zeros((n, WINDOW))
         e[row, place] = score[ids]
         p, pairs = marginals(e, t, mask)
         wrong = (y - p)[row, place]
-        per_word = np.bincount(ids, wrong, len(feats))
+        per_word = np.bincount(ids, wrong, len(vocabulary))
         grad = np.bincount(flat, per_word[owner], 1 << BITS) - RIDGE * n * w
         step = observed - pairs - RIDGE * n * t
         gw += grad * grad
@@ -278,7 +334,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     toxic = [y == 1 for y in got.column(2).to_pylist()]
     if not any(toxic):
         return None
-    return train([w.split() for w in got.column(1).to_pylist()], toxic)
+    corpus = Corpus(got.column(1).to_pylist(), toxic)
+    del got
+    return train(corpus)
 
 
 class _Emissions(dict):
