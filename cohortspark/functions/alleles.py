@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 BASES = "ACGT"
 SBS6 = ("C>A", "C>G", "C>T", "T>A", "T>C", "T>G")
@@ -87,9 +89,13 @@ def tandem(window: str, at: int) -> tuple[int, int]:
     return 0, 0
 
 
-@F.pandas_udf("homopolymer_len int, str_period int, str_len int")
-def repeats(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Repeat metrics of ``(window, place in it)``; give it distinct loci only."""
+def _repeats(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for window, at in parts:
         rows = [(homopolymer(w, i), *tandem(w, i)) if w and 0 <= i < len(w) else (0, 0, 0) for w, i in zip(window, at, strict=True)]
         yield pd.DataFrame(rows, columns=["homopolymer_len", "str_period", "str_len"])
+
+
+def repeats(window: str, at: str) -> Column:
+    """A struct of repeat metrics of a window's column and the place in it; for distinct loci only."""
+    kind = StructType([StructField(c, IntegerType()) for c in ("homopolymer_len", "str_period", "str_len")])
+    return F.pandas_udf(_repeats, kind, PandasUDFType.SCALAR_ITER)(window, at)
