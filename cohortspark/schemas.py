@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType
+
+_KINDS: dict[str, DataType] = {
+    "string": StringType(), "bigint": LongType(), "int": IntegerType(), "float": FloatType(), "double": DoubleType(), "boolean": BooleanType(),
+    "array<int>": ArrayType(IntegerType()), "map<string:int>": MapType(StringType(), IntegerType()),
+}
 
 
 def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(" ".join(text.split()))
+    """A schema without a session, which parsing by Spark would need."""
+    return StructType([StructField(*(f(x) for f, x in zip((str, _KINDS.__getitem__), field.split(), strict=True))) for field in text.split(",")])
 
 
 ALT_BASES = _ddl("""sample_id string, chrom string, pos bigint, ref_allele string, alt_allele string, variant_type string, total_depth int, alt_count int,
@@ -35,7 +41,7 @@ COVERAGE_INTERVALS = _ddl("""sample_id string, chrom string, start bigint, end b
     label1 string, label2 string, label3 string""")
 #: Aligned reads, as a relation.
 READS = _ddl("""sample_id string, read_ordinal bigint, qname string, flag int, chrom string, pos bigint, mapq int, cigar string, seq string,
-    quals array<int>, tlen int, tags map<string,int>""")
+    quals array<int>, tlen int, tags map<string:int>""")
 #: A reference genome in chunks; chunk_start is 0-based.
 REFERENCE = _ddl("chrom string, chunk_start bigint, seq string")
 
