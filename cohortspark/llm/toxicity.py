@@ -15,10 +15,11 @@ forward-backward. A text is read in windows of ``WINDOW`` words, every word in
 one; forward-backward gives each word's marginal probability of being toxic,
 for all windows of a batch at once.
 
-A document's score joins the marginals of its suspect words (p of 0.2 or more) as
-independent evidence, 1 - prod(1 - p), and their number, in a logistic regression
-calibrated on labelled documents that the chain was not trained on. Offending
-offsets are the spans, in code points, of runs of words with p of 0.5 or more.
+A document's score joins the marginals of its likeliest words of p 0.5 or more,
+eight at most, as independent evidence, 1 - prod(1 - p), and their number, in a
+logistic regression calibrated on labelled documents that the chain was not
+trained on. Offending offsets are the spans, in code points, of runs of words
+with p of 0.5 or more.
 
 Defined results: a null, empty or wordless text has score 0 and no spans. Rows
 with a null or repeated doc_id are scored like others; a null doc_id is not held
@@ -48,6 +49,8 @@ CUE_ROWS, CUE_CLEAN = 3, 0.06
 #: How likely a cue's documents are all toxic by accident, at most.
 CUE_CHANCE = 1e-3
 CUES = 2000
+#: Words whose marginals make a document's score: more of a kind are no further evidence.
+MOST = 8
 EPOCHS, RATE, RIDGE = 30, 0.5, 1e-4
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
@@ -257,10 +260,11 @@ def train(corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
 
 
 def _evidence(p: np.ndarray) -> tuple[float, float, float]:
-    """Of a document's marginals: 1, log odds of any toxic word, how many there may be."""
-    some = p[p >= 0.2]
-    joint = -np.log1p(-np.minimum(some, 1 - 1e-6)).sum() if len(some) else 1e-3 * (1 + (p.max() if len(p) else 0.0))
-    return 1.0, float(np.log(np.expm1(min(joint, 30.0)))), float(np.log1p(len(some)))
+    """Of a document's marginals: 1, log odds of any of its ``MOST`` likeliest words being toxic, how many are."""
+    top = np.sort(p)[-MOST:]
+    some = top[top >= THRESHOLD]
+    joint = -np.log1p(-np.minimum(some, 1 - 1e-6)).sum() if len(some) else -np.log1p(-top[-1]) if len(top) else 1e-6
+    return 1.0, float(np.log(np.expm1(min(max(joint, 1e-6), 30.0)))), float(np.log1p(len(some)))
 
 
 def _features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
