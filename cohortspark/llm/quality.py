@@ -33,7 +33,7 @@ from .common import held_out, texts
 
 BITS = 20
 #: Most labelled texts that are learnt from, the first by a hash of their id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 SCALE = 20.0
 THRESHOLD = 0.7
@@ -81,14 +81,12 @@ def features(tokens: list[str], codes: _Codes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train(rows: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, float]:
-    """Weights and intercept from ``(features, tokens, label)``, by FTRL-proximal updates."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+    """Weights and intercept from ``(features, values, label)``, by FTRL-proximal updates."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
-    sparse = [(*np.unique(f, return_counts=True), max(1, k), y) for f, k, y in rows]
     for _ in range(EPOCHS):
-        for idx, count, k, y in sparse:
-            x = count * (SCALE / k)
+        for idx, x, y in rows:
             zi, ni = z[idx], n[idx]
             w = np.where(np.abs(zi) > L1, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
             b = -zb / ((BETA + nb**0.5) / ALPHA)
@@ -119,16 +117,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
             out = []
             for doc, text, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = _TOKEN.findall(text)
-                out.append((doc, features(tokens, codes).tobytes(), len(tokens), label))
+                found, count = np.unique(features(tokens, codes), return_counts=True) if tokens else (np.empty(0, _U), np.empty(0))
+                value = (count * (SCALE / max(1, len(tokens)))).astype(np.float32)
+                out.append((doc, found.tobytes(), value.tobytes(), label))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "f", "k", "y"])
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "f", "x", "y"])
 
     chosen = sample(docs, labels, "quality", ~held_out(4, 2), rows).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    got = chosen.mapInArrow(of, "doc_id long, f binary, k long, y int").toArrow()
+    got = chosen.mapInArrow(of, "doc_id long, f binary, x binary, y int").toArrow()
     order = np.argsort([xxhash.xxh64_intdigest(str(d)) for d in got.column(0).to_pylist()], kind="stable")
-    f, k, y = (got.column(i).combine_chunks() for i in (1, 2, 3))
-    found = [(np.frombuffer(f[int(i)].as_py(), _U), k[int(i)].as_py(), y[int(i)].as_py()) for i in order]
+    rows = got.select(["f", "x", "y"]).to_pylist()
+    found = [(np.frombuffer(rows[i]["f"], _U), np.frombuffer(rows[i]["x"], np.float32), rows[i]["y"]) for i in order]
+    del got, rows
+    pa.default_memory_pool().release_unused()
     kinds = {y for *_, y in found}
     if len(kinds) < 2:
         share = 1.0 if not kinds else float(kinds.pop())
