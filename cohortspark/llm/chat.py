@@ -131,7 +131,7 @@ def expand(conversations: DataFrame) -> DataFrame:
                     n += 1
                     size += len(prefix[0])
                 chars += len(own)
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield flush()
                     size = 0
         close()
