@@ -56,7 +56,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: Rows of one or two long columns that may be broadcast; larger sets are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 ARROW_ROWS = 512
 
 
@@ -68,6 +68,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of a few numbers that one task handles without a shuffle.
+COMPACT_ROWS = 200_000
+
+
+def compact(df: DataFrame, rows: int = COMPACT_ROWS) -> DataFrame:
+    """A written table of at most ``rows`` rows as one partition, which joins and aggregates need not shuffle."""
+    return df.coalesce(1) if df.count() <= rows else df
+
+
 def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the key and the text, a null text being empty.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import COMPACT_ROWS, compact, materialise, small
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Large-star and small-star rounds until the edge set no longer changes.
     Every round is two aggregations by minimum (combined before the shuffle)
     and two equi-joins; each round's edges are written to the shared folder.
-    Ids without an edge are not returned.
+    A small edge set is one partition and shuffles nothing. Ids without an edge
+    are not returned.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = materialise(e, "cc")
@@ -29,6 +30,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         rest = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(rest.unionByName(down.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "cc")
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        e = e.coalesce(1) if now[0] <= COMPACT_ROWS else e
         if now == before:
             break
         before = now
@@ -39,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, common: int = 1, rounds: int = 12
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, common: int = 1, full: int = 2, rounds: int = 12, mark: tuple[str, ...] = (), prepare: Callable[[DataFrame], None] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Links and components among ``members(bucket, id)``.
 
@@ -55,14 +57,24 @@ def link_buckets(
     members is compared in full (pairs that meet in ``common`` buckets at
     least); in larger ones the rounds go on, with other centres, until
     two of them in turn find no link. Every round's cost is in proportion to the members.
+    Buckets of at most ``full`` members are compared in full at once: where
+    ``keep`` tells most pairs apart, that costs less than rounds.
+    ``mark`` names carried columns that ``members`` has too: buckets of two that
+    do not meet ``keep`` are then dropped before anything is joined.
+    ``prepare`` is given the ids that meet others, before any is verified.
     Returns ``(links(a, b), components(id, comp))``.
     """
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    live = materialise(members.join(shared, "bucket"), "bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{e}") for c in mark for e, f in (("a", F.min), ("b", F.max))]).where("n > 1")
+    if mark and keep:  # of two members, the least and largest mark tell whether they can be a link
+        shared = shared.where(f"n > 2 or ({keep})")
+    shared = materialise(shared.select("bucket", "n"), "shared")
+    live = materialise(members.select("bucket", "id").join(small(shared), "bucket"), "bucket")
     about = live.groupBy("id").agg(F.sum("n").alias("degree"))
     if carry is not None:
         about = about.join(carry, "id")
-    live = materialise(live.join(about, "id"), "bucket")
+    live = compact(materialise(live.join(about, "id"), "bucket"))
+    if prepare:
+        prepare(live.select("id").distinct())
     carry = tuple(c for c in carry.columns if c != "id") if carry is not None else ()
 
     def pairs_of(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
@@ -80,23 +92,30 @@ def link_buckets(
     links = tried = comps = None
 
     def mixed() -> DataFrame:
-        """Members of the buckets that hold more than one component."""
+        """Members of the buckets that hold more than one component; other buckets are done with for good."""
+        nonlocal live
         if comps is None:
             return live.withColumn("label", F.col("id"))
         labelled = live.join(comps, "id", "left").withColumn("label", F.coalesce("comp", "id")).drop("comp")
         span = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        return materialise(labelled.join(span, "bucket", "left_semi"), "bucket")
+        rows = compact(materialise(labelled.join(small(materialise(span, "mixed")), "bucket", "left_semi"), "bucket"))
+        live = rows.drop("label")
+        return rows
 
     def learn(pairs: DataFrame) -> bool:
         """Verify ``pairs`` and update the components; whether there was a link."""
         nonlocal links, tried, comps
         pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            return False
         found = materialise(verify(pairs).select("a", "b"), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if comps is not None and found.isEmpty():
+        tried = compact(pairs if tried is None else materialise(tried.unionByName(pairs), "tried"))
+        if found.isEmpty():
             return False
         links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        # components so far stand for their links
+        known = found if comps is None else found.unionByName(comps.where("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        comps = compact(materialise(components(known), "comps"))
         return True
 
     def led(rows: DataFrame, turn: int) -> DataFrame:
@@ -109,6 +128,9 @@ def link_buckets(
         lead = pool.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), F.bitwise_not("id").alias("least"), "label", *carry)).alias("c"))
         return lead.select("bucket", F.bitwise_not("c.least").alias("id"), F.col("c.label").alias("label"), *[F.col(f"c.{c}").alias(c) for c in carry])
 
+    tiny = live.where(F.col("n") <= full).withColumn("label", F.col("id"))
+    learn(pairs_of(tiny, tiny))
+    live = live.where(F.col("n") > full)
     barren = 0
     for turn in range(rounds):
         rows = mixed()
