@@ -41,7 +41,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, common: int = 1, full: int = 2, rounds: int = 12, mark: tuple[str, ...] = (), prepare: Callable[[DataFrame], None] | None = None
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, common: int = 1, full: int = 2, rounds: int = 12, mark: tuple[str, ...] = (), prepare: Callable[[DataFrame], None] | None = None,
+    split: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links and components among ``members(bucket, id)``.
 
@@ -56,7 +57,11 @@ def link_buckets(
     first one's component. After two such rounds a bucket of at most ``few``
     members is compared in full (pairs that meet in ``common`` buckets at
     least); in larger ones the rounds go on, with other centres, until
-    two of them in turn find no link. Every round's cost is in proportion to the members.
+    two of them in turn find no link or there were ``rounds`` of them. Every round's cost is in proportion to the members.
+    The members of larger buckets that are mixed even then are compared in full:
+    ``split`` takes their ids and returns finer buckets ``(bucket, id)``, of which
+    any two ids that may be a link share one; without it the buckets stay as they are.
+    So each pair that meets is in one component in the end, or was verified.
     Buckets of at most ``full`` members are compared in full at once: where
     ``keep`` tells most pairs apart, that costs less than rounds.
     ``mark`` names carried columns that ``members`` has too: buckets of two that
@@ -147,6 +152,16 @@ def link_buckets(
         barren = 0 if learn(pairs_of(led(rows, turn), rows)) else barren + 1
         if turn >= 2 and barren == 2:
             break
+    rows = mixed().where(F.col("n") > few)
+    if not rows.isEmpty():
+        if split:
+            who = materialise(rows.select("id", "label", *carry).distinct(), "who")
+            finer = materialise(split(who.select("id")).select("bucket", "id").distinct(), "finer")
+            # buckets of one component need no comparison
+            finer = finer.join(small(who), "id")
+            span = finer.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+            rows = compact(materialise(finer.join(span, "bucket", "left_semi"), "finer"))
+        learn(pairs_of(rows, rows))
     if links is None:
         spark = members.sparkSession
         return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")

@@ -203,6 +203,51 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
         yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
+#: Cells that shingles are counted in for their order from rare to common.
+CELLS = 1 << 18
+
+
+def prefix(found: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Of distinct shingles, the rarest, of which any two sets that are a link share one.
+
+    ``counts`` of shingle cells give an order that is the same for all sets. The
+    first shared shingle leaves at least ``threshold`` of either set from there
+    on: of its shingles for the plain Jaccard, and of its weight for the
+    probability Jaccard, which is at most the sum of the smaller shares of weight.
+    Shingles whose cell counts one set are shared with none and are left out.
+    """
+    often = counts[(found % _U(CELLS)).astype(np.int64)]
+    order = np.lexsort((found, often))
+    spare = 1 - threshold + 1e-6
+    mass = np.cumsum(weights[order]) / weights.sum()
+    n = max(int(spare * len(found)), int(np.searchsorted(mass, spare, side="right"))) + 1
+    first = order[:n]
+    return found[first[often[first] > 1]]
+
+
+def _sets(batch: pa.RecordBatch, hashes: _Hashes, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    with np.errstate(over="ignore"):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield key, *weighted(shingles(_words(text.as_py()), hashes, k))
+
+
+def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    hashes, total = _Hashes(), np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for _, found, _ in _sets(batch, hashes, k):
+            np.add.at(total, (found % _U(CELLS)).astype(np.int64), 1)
+    cells = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for batch in batches:
+        for key, found, weights in _sets(batch, hashes, k):
+            own = prefix(found, weights, counts, threshold)
+            yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), key, np.int64))], names=["bucket", "id"])
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, class_size, n_links, kept``, one row for each document of ``docs(doc_id, text)``.
 
@@ -223,7 +268,17 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORD
         both = both.join(body.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compare(it, k, threshold), "a long, b long")
 
-    links, comps = link_buckets(members, verify, common=2)
+    def split(ids: DataFrame) -> DataFrame:
+        """Rare shingles of which any two texts that are a link share one."""
+        body = t.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+        body = materialise(body, "texts")
+        counts = np.zeros(CELLS, np.int64)
+        for r in body.mapInArrow(lambda it: _count(it, k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            counts[r.column(0).to_numpy()] = r.column(1).to_numpy()
+        held = body.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+        return body.mapInArrow(lambda it: _prefixes(it, held.value, k, threshold), "bucket long, id long")
+
+    links, comps = link_buckets(members, verify, common=2, split=split)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = node.select("content", "id").join(comps, "id", "left").join(degree, "id", "left")
     named = named.select("content", F.coalesce("comp", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
