@@ -41,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, common: int = 1, full: int = 2, rounds: int = 12, mark: tuple[str, ...] = (), prepare: Callable[[DataFrame], None] | None = None,
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, full: int = 2, rounds: int = 12, mark: tuple[str, ...] = (), prepare: Callable[[DataFrame], None] | None = None,
     split: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links and components among ``members(bucket, id)``.
@@ -55,8 +55,7 @@ def link_buckets(
     not n squared. Members that are then in one component need no comparison. A
     bucket that still holds several components gets another centre, outside the
     first one's component. After two such rounds a bucket of at most ``few``
-    members is compared in full (pairs that meet in ``common`` buckets at
-    least); in larger ones the rounds go on, with other centres, until
+    members is compared in full; in larger ones the rounds go on, with other centres, until
     two of them in turn find no link or there were ``rounds`` of them. Every round's cost is in proportion to the members.
     The members of larger buckets that are mixed even then are compared in full:
     ``split`` takes their ids and returns finer buckets ``(bucket, id)``, of which
@@ -82,7 +81,7 @@ def link_buckets(
         prepare(live.select("id").distinct())
     carry = tuple(c for c in carry.columns if c != "id") if carry is not None else ()
 
-    def pairs_of(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
         x = left.select("bucket", F.col("id").alias("p"), F.col("label").alias("lp"), *[F.col(c).alias(f"{c}_p") for c in carry])
         y = right.select("bucket", F.col("id").alias("q"), F.col("label").alias("lq"), *[F.col(c).alias(f"{c}_q") for c in carry])
         both = x.join(y, "bucket").where("lp != lq and p < q" if left is right else "lp != lq")
@@ -91,7 +90,7 @@ def link_buckets(
         for c in carry:
             out += [F.when(first, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q")).alias(f"{c}_a"), F.when(first, F.col(f"{c}_q")).otherwise(F.col(f"{c}_p")).alias(f"{c}_b")]
         both = both.select(*out)
-        both = (both.where(keep) if keep else both).groupBy("a", "b").count().where(F.col("count") >= least).select("a", "b")
+        both = (both.where(keep) if keep else both).select("a", "b").distinct()
         return both if tried is None else both.join(tried, ["a", "b"], "left_anti")
 
     links = tried = comps = None
@@ -141,7 +140,7 @@ def link_buckets(
         rows = mixed()
         if turn == 2:
             low = rows.where(F.col("n") <= few)
-            learn(pairs_of(low, low, common))
+            learn(pairs_of(low, low))
             rows = mixed()
         if turn >= 2:
             rows = rows.where(F.col("n") > few)

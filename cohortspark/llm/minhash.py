@@ -278,7 +278,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORD
         held = body.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
         return body.mapInArrow(lambda it: _prefixes(it, held.value, k, threshold), "bucket long, id long")
 
-    links, comps = link_buckets(members, verify, common=2, split=split)
+    links, comps = link_buckets(members, verify, split=split)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = node.select("content", "id").join(comps, "id", "left").join(degree, "id", "left")
     named = named.select("content", F.coalesce("comp", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

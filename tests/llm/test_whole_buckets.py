@@ -74,3 +74,9 @@ def test_one_bucket_with_many_families(spark):
 
     _, comps = groups.link_buckets(members.select("bucket", "id"), verify)
     assert {r.id: r.comp for r in comps.collect()} == {i: i // 2 * 2 for i in range(100)}
+
+
+def test_near_copies_that_meet_once_in_a_small_bucket_are_all_found(spark):
+    rows, _ = family_rows(8)
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, DOCS), bands=1, rows=1).collect()}
+    assert got == {i: i // 2 * 2 for i in range(16)}
