@@ -40,128 +40,97 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots).distinct()
 
 
-def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, carry: DataFrame | None = None, few: int = 32, full: int = 2, rounds: int = 12, mark: tuple[str, ...] = (), prepare: Callable[[DataFrame], None] | None = None,
-    split: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Links and components among ``members(bucket, id)``.
-
-    ``verify`` takes pairs ``(a, b)`` and returns those that are links. ``keep``
-    is an SQL condition that every link meets, on the columns of ``carry(id, x)``
-    as ``x_a`` and ``x_b``.
-
-    A bucket's members are compared with its centre, at first the member that
-    shares the most places with others, so a group of n copies costs n pairs and
-    not n squared. Members that are then in one component need no comparison. A
-    bucket that still holds several components gets another centre, outside the
-    first one's component. After two such rounds a bucket of at most ``few``
-    members is compared in full; in larger ones the rounds go on, with other centres, until
-    two of them in turn find no link or there were ``rounds`` of them. Every round's cost is in proportion to the members.
-    The members of larger buckets that are mixed even then are compared in full:
-    ``split`` takes their ids and returns finer buckets ``(bucket, id)``, of which
-    any two ids that may be a link share one; without it the buckets stay as they are.
-    So each pair that meets is in one component in the end, or was verified.
-    Buckets of at most ``full`` members are compared in full at once: where
-    ``keep`` tells most pairs apart, that costs less than rounds.
-    ``mark`` names carried columns that ``members`` has too: buckets of two that
-    do not meet ``keep`` are then dropped before anything is joined.
-    ``prepare`` is given the ids that meet others, before any is verified.
-    Returns ``(links(a, b), components(id, comp))``.
+def link_buckets(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], keep: str | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, finer_keep: str | None = None, describe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Components ``(id, comp)`` of the links among ``nodes(id, keys)``; nodes without a link are not returned.
+
+    Nodes that have a key in common meet in its bucket; rows that repeat a node
+    are one. ``verify`` takes pairs ``(a, b)`` and returns those that are links.
+    ``describe`` is given the ids of nodes that meet others, before any is
+    verified, and returns ``(id, ...)``; ``keep`` is an SQL condition that every
+    candidate meets, on its columns x as ``x_p`` and ``x_q``: part of the join,
+    so that other pairs are never rows.
+
+    1. A bucket's members are compared with its head, the one that meets most
+       others: a group of n copies costs n pairs, not n squared.
+    2. Members outside the component of a bucket's head are its minor ones. They
+       are compared with the foremost minor one.
+    3. The members that are minor even then are compared with every member of
+       another component that they meet, so all pairs that meet are in one
+       component or were verified. With ``finer``, which takes ids and returns
+       ``(key, id, ...)`` such that any two that are a link share a key at which
+       ``finer_keep`` holds, only such are compared: the others are no link.
+
+    Counting is combined before the shuffle, and the joins on hot buckets are
+    plain ones that AQE can split.
     """
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{e}") for c in mark for e, f in (("a", F.min), ("b", F.max))]).where("n > 1")
-    if mark and keep:  # of two members, the least and largest mark tell whether they can be a link
-        shared = shared.where(f"n > 2 or ({keep})")
-    shared = materialise(shared.select("bucket", "n"), "shared")
-    live = materialise(members.select("bucket", "id").join(small(shared), "bucket"), "bucket")
-    about = live.groupBy("id").agg(F.sum("n").alias("degree"))
-    if carry is not None:
-        about = about.join(carry, "id")
-    live = compact(materialise(live.join(about, "id"), "bucket"))
-    if prepare:
-        prepare(live.select("id").distinct())
-    carry = tuple(c for c in carry.columns if c != "id") if carry is not None else ()
-
-    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
-        x = left.select("bucket", F.col("id").alias("p"), F.col("label").alias("lp"), *[F.col(c).alias(f"{c}_p") for c in carry])
-        y = right.select("bucket", F.col("id").alias("q"), F.col("label").alias("lq"), *[F.col(c).alias(f"{c}_q") for c in carry])
-        both = x.join(y, "bucket").where("lp != lq and p < q" if left is right else "lp != lq")
-        first = F.col("p") < F.col("q")
-        out = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")]
-        for c in carry:
-            out += [F.when(first, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q")).alias(f"{c}_a"), F.when(first, F.col(f"{c}_q")).otherwise(F.col(f"{c}_p")).alias(f"{c}_b")]
-        both = both.select(*out)
-        both = (both.where(keep) if keep else both).select("a", "b").distinct()
-        return both if tried is None else both.join(tried, ["a", "b"], "left_anti")
-
-    links = tried = comps = None
-
-    def mixed() -> DataFrame:
-        """Members of the buckets that hold more than one component; other buckets are done with for good."""
-        nonlocal live
-        if comps is None:
-            return live.withColumn("label", F.col("id"))
-        labelled = live.join(comps, "id", "left").withColumn("label", F.coalesce("comp", "id")).drop("comp")
-        span = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rows = compact(materialise(labelled.join(small(materialise(span, "mixed")), "bucket", "left_semi"), "bucket"))
-        live = rows.drop("label")
-        return rows
+    members = nodes.select("id", F.explode("keys").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = materialise(shared.select("bucket"), "shared")
+    # always the same join, whose cost grows with the nodes, whatever their number
+    met = materialise(members.join(shared.hint("merge"), "bucket").distinct(), "met")
+    sizes = small(materialise(met.groupBy("bucket").agg(F.count("*").alias("n")), "sizes"))
+    about = materialise(met.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("degree")), "about")
+    carry: list[str] = []
+    if described := describe(about.select("id")) if describe else None:
+        carry = [c for c in described.columns if c != "id"]
+        about = materialise(about.join(described, "id"), "about")
+    live = compact(materialise(met.join(small(about), "id"), "live"))
+    rank = F.struct("degree", F.bitwise_not("id").alias("least"))
+    tried = comps = None
+
+    def head(rows: DataFrame) -> DataFrame:
+        top = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "label", *carry)).alias("h"))
+        return top.select("bucket", F.bitwise_not("h.rank.least").alias("id"), F.col("h.label").alias("label"), *[F.col(f"h.{c}").alias(c) for c in carry])
+
+    def pairs_of(left: DataFrame, right: DataFrame, on: str = "bucket", also: list[str] = carry, where: str | None = keep) -> DataFrame:
+        x = left.select(on, F.col("id").alias("p"), F.col("label").alias("lp"), *[F.col(c).alias(f"{c}_p") for c in also])
+        y = right.select(on, F.col("id").alias("q"), F.col("label").alias("lq"), *[F.col(c).alias(f"{c}_q") for c in also])
+        both = x.join(y, on).where("lp != lq")
+        both = both.where(where) if where else both
+        both = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        return both if tried is None else both.join(small(tried), ["a", "b"], "left_anti")
 
     def learn(pairs: DataFrame) -> bool:
         """Verify ``pairs`` and update the components; whether there was a link."""
-        nonlocal links, tried, comps
+        nonlocal tried, comps
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             return False
         found = materialise(verify(pairs).select("a", "b"), "links")
-        tried = compact(pairs if tried is None else materialise(tried.unionByName(pairs), "tried"))
+        tried = pairs if tried is None else materialise(tried.unionByName(pairs), "tried")
         if found.isEmpty():
             return False
-        links = found if links is None else links.unionByName(found)
         # components so far stand for their links
         known = found if comps is None else found.unionByName(comps.where("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
         comps = compact(materialise(components(known), "comps"))
         return True
 
-    def led(rows: DataFrame, turn: int) -> DataFrame:
-        """Each bucket's centre of this turn."""
-        pool = rows
-        if turn:
-            top = rows.groupBy("bucket").agg(F.max_by("label", F.struct("degree", "id")).alias("done"))
-            pool = rows.join(top, "bucket").where("label != done").drop("done")
-        rank = F.col("degree") if turn < 2 else F.xxhash64("id", F.lit(turn))
-        lead = pool.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), F.bitwise_not("id").alias("least"), "label", *carry)).alias("c"))
-        return lead.select("bucket", F.bitwise_not("c.least").alias("id"), F.col("c.label").alias("label"), *[F.col(f"c.{c}").alias(c) for c in carry])
-
-    tiny = live.where(F.col("n") <= full).withColumn("label", F.col("id"))
-    learn(pairs_of(tiny, tiny))
-    live = live.where(F.col("n") > full)
-    barren = 0
-    for turn in range(rounds):
-        rows = mixed()
-        if turn == 2:
-            low = rows.where(F.col("n") <= few)
-            learn(pairs_of(low, low))
-            rows = mixed()
-        if turn >= 2:
-            rows = rows.where(F.col("n") > few)
-        if rows.isEmpty():
-            if turn != 2:
-                break
-            continue
-        barren = 0 if learn(pairs_of(led(rows, turn), rows)) else barren + 1
-        if turn >= 2 and barren == 2:
-            break
-    rows = mixed().where(F.col("n") > few)
-    if not rows.isEmpty():
-        if split:
-            who = materialise(rows.select("id", "label", *carry).distinct(), "who")
-            finer = materialise(split(who.select("id")).select("bucket", "id").distinct(), "finer")
-            # buckets of one component need no comparison
-            finer = finer.join(small(who), "id")
-            span = finer.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            rows = compact(materialise(finer.join(span, "bucket", "left_semi"), "finer"))
-        learn(pairs_of(rows, rows))
-    if links is None:
-        spark = members.sparkSession
-        return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, comp long")
-    return links, comps
+    def labelled(rows: DataFrame) -> DataFrame:
+        if comps is None:
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(small(comps), "id", "left").withColumn("label", F.coalesce("comp", "id")).drop("comp")
+
+    def minor(rows: DataFrame) -> DataFrame:
+        """Members outside the component of their bucket's head, written."""
+        top = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "label")).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        top = materialise(top.where("lo < hi").select("bucket", F.col("h.label").alias("top")), "mixed")
+        return compact(materialise(rows.join(small(top), "bucket").where("label != top").drop("top"), "minor"))
+
+    first = live.withColumn("label", F.col("id"))
+    learn(pairs_of(materialise(head(first), "heads"), first))
+    rest = minor(labelled(live))
+    if not rest.isEmpty():
+        if learn(pairs_of(materialise(head(rest), "heads"), rest)):
+            rest = minor(labelled(live))
+        if finer is None:
+            learn(pairs_of(rest, labelled(live)))
+        else:
+            who = materialise(labelled(live.select("id").distinct()), "who")
+            keyed = materialise(finer(who.select("id")), "finer")
+            also = [c for c in keyed.columns if c not in ("key", "id")]
+            keyed = keyed.join(small(who), "id")
+            few = materialise(rest.select("id").distinct(), "few")
+            learn(pairs_of(keyed.join(small(few), "id", "left_semi"), keyed, "key", also, finer_keep))
+    if comps is None:
+        return nodes.sparkSession.createDataFrame([], "id long, comp long")
+    return comps

@@ -10,15 +10,19 @@ register of the text, so a text of n shingles costs about n + m ln m arrivals
 for m registers. Registers of two texts agree with the probability Jaccard
 similarity of their weighted shingles.
 
-Texts with the same words are one node. Bands of registers give buckets;
-``link_buckets`` finds candidate pairs in them, and each is verified on the
-whole texts: the exact probability Jaccard, or the plain Jaccard of the two sets
-of shingles, is at least ``threshold``.
+Texts with the same words are one node. Bands of registers give buckets, and
+each pair of texts that meet in one is in one class in the end or was verified
+on the whole texts (:func:`link_buckets`): it is a link if the exact probability
+Jaccard, or the plain Jaccard of the two sets of shingles, is at least
+``threshold``. Pairs that are in one class by other links are not compared, so
+the result is the classes and each document's membership, not a list of links.
 
 Defined results: a null or wordless text has no shingle and is alone in its
-class. Rows that repeat a doc_id are one document. A class is a connected
-component of links, named by its least doc_id. Rows with a null doc_id are
-classes of their own (null class_id, kept). Other columns are not read.
+class. Rows that repeat a doc_id and its text are one document; an id's other
+texts are documents of their own. A class is a connected component of links,
+named by its least doc_id; its first document by (doc_id, hash of the text) is
+kept. Rows with a null doc_id are classes of their own (null class_id, kept).
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small, texts
@@ -148,6 +152,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of probability Jaccard and plain Jaccard."""
     both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    if not both:
+        return 0.0
     plain = both / (len(a[0]) + len(b[0]) - both)
     return max(plain, probability_jaccard(a, b))
 
@@ -162,16 +168,16 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> I
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             part = batch.slice(a, 1024)
-            ids, content, count, sets = [], [], [], []
+            ids, digests, content, sets = [], [], [], []
             with np.errstate(over="ignore"):
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for key, text, digest in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                     s = shingles(_words(text.as_py()), hashes, k)
-                    if key is None or not len(s):
+                    if not len(s):
                         continue
                     ids.append(key)
+                    digests.append(digest)
                     content.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sets.append(weighted(s))
-                    count.append(len(sets[-1][0]))
                 if not ids:
                     continue
                 sig = signatures([e for e, _ in sets], [w for _, w in sets], bands * rows).reshape(len(ids), bands, rows)
@@ -180,8 +186,8 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> I
                     key = _mix(key * _ODD[3] + sig[:, :, r])
                 key = _mix(key ^ salt[None, :])
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(content, pa.binary()), pa.array(count, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "content", "n", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(content, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "content", "keys"],
             )
 
 
@@ -207,14 +213,16 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
 CELLS = 1 << 18
 
 
-def prefix(found: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+def prefix(found: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of distinct shingles, the rarest, of which any two sets that are a link share one.
 
     ``counts`` of shingle cells give an order that is the same for all sets. The
     first shared shingle leaves at least ``threshold`` of either set from there
     on: of its shingles for the plain Jaccard, and of its weight for the
     probability Jaccard, which is at most the sum of the smaller shares of weight.
-    Shingles whose cell counts one set are shared with none and are left out.
+    Returns the shingles, and how many and what share of the weight follow from
+    each of them on. Shingles whose cell counts one set are shared with none and
+    are left out.
     """
     often = counts[(found % _U(CELLS)).astype(np.int64)]
     order = np.lexsort((found, often))
@@ -222,7 +230,14 @@ def prefix(found: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold
     mass = np.cumsum(weights[order]) / weights.sum()
     n = max(int(spare * len(found)), int(np.searchsorted(mass, spare, side="right"))) + 1
     first = order[:n]
-    return found[first[often[first] > 1]]
+    on = np.flatnonzero(often[first] > 1)
+    return found[first[on]], len(found) - on, 1 - np.concatenate([[0.0], mass])[on]
+
+
+#: Whether two texts can be a link whose first shared shingle this is. Texts without
+#: repeated shingles have equal weights, and their probability Jaccard is the plain one.
+_POSSIBLE = """least(rest_p, rest_q) >= {0} * (size_p + size_q - least(rest_p, rest_q)) - 1e-6
+    or (not (even_p and even_q) and least(mass_p, mass_q) >= {0} - 1e-6)"""
 
 
 def _sets(batch: pa.RecordBatch, hashes: _Hashes, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -243,55 +258,101 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        for key, found, weights in _sets(batch, hashes, k):
-            own = prefix(found, weights, counts, threshold)
-            yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), key, np.int64))], names=["bucket", "id"])
+        for node, found, weights in _sets(batch, hashes, k):
+            key, rest, mass = prefix(found, weights, counts, threshold)
+            n = len(key)
+            columns = [pa.array(key.view(np.int64)), pa.array(np.full(n, node, np.int64)), pa.array(rest.astype(np.int64)), pa.array(mass), pa.array(np.full(n, len(found), np.int64)), pa.array(np.full(n, weights.max() == weights.min()))]
+            yield pa.record_batch(columns, names=["key", "id", "rest", "mass", "size", "even"])
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, class_size, n_links, kept``, one row for each document of ``docs(doc_id, text)``.
+def _nodes(docs: DataFrame, bands: int, rows: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, digest, content`` of texts with words, and ``id, content, doc_id, digest, keys`` of different ones.
 
-    ``n_links`` counts the verified links of the document's words to other
-    words; copies of the same words are in the class without links of their own.
+    A node's own text is that of its least ``(doc_id, digest)``. Node ids are
+    numbers given to the written rows: no two contents share one.
     """
-    t = texts(docs)
-    signed = materialise(t.mapInArrow(lambda it: _sign(it, bands, rows, k), "doc_id long, content binary, n long, bands array<long>"), "signed")
-    node = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    node = materialise(node, "node")
-    members = node.select("id", F.explode("bands").alias("bucket"))
+    kinds = "doc_id long, digest long, content binary, keys array<long>"
+    t = texts(docs).where("doc_id is not null").withColumn("digest", _digest())
+    signed = materialise(t.mapInArrow(lambda it: _sign(it, bands, rows, k), kinds), "signed")
+    node = signed.groupBy("content").agg(F.min(F.struct("doc_id", "digest")).alias("own"), F.first("keys").alias("keys"))
+    node = node.select(F.monotonically_increasing_id().alias("id"), "content", "own.doc_id", "own.digest", "keys")
+    return signed.drop("keys"), materialise(node, "node")
+
+
+def _components(docs: DataFrame, node: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``id, comp`` of linked nodes."""
+    body = None
+
+    def text_of(ids: DataFrame) -> DataFrame:
+        """``id, text`` of some nodes; the texts of nodes that meet others are read once."""
+        return body.join(small(ids), "id", "left_semi")
+
+    def describe(ids: DataFrame) -> None:
+        nonlocal body
+        own = node.join(small(materialise(ids, "ids")), "id", "left_semi").select("id", "doc_id", "digest")
+        t = texts(docs).where("doc_id is not null").withColumn("digest", _digest())
+        found = t.join(small(materialise(own, "own")), ["doc_id", "digest"]).select("id", "text")
+        body = materialise(found.dropDuplicates(["id"]), "texts", compression="zstd")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        body = t.join(small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-        body = materialise(body, "texts")
-        both = pairs.join(body.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(body.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        own = text_of(ids)
+        both = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        both = both.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compare(it, k, threshold), "a long, b long")
 
-    def split(ids: DataFrame) -> DataFrame:
+    def finer(ids: DataFrame) -> DataFrame:
         """Rare shingles of which any two texts that are a link share one."""
-        body = t.join(small(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-        body = materialise(body, "texts")
+        own = text_of(ids).select("id", "text")
         counts = np.zeros(CELLS, np.int64)
-        for r in body.mapInArrow(lambda it: _count(it, k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for r in own.mapInArrow(lambda it: _count(it, k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
             counts[r.column(0).to_numpy()] = r.column(1).to_numpy()
-        held = body.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
-        return body.mapInArrow(lambda it: _prefixes(it, held.value, k, threshold), "bucket long, id long")
-
-    links, comps = link_buckets(members, verify, split=split)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = node.select("content", "id").join(comps, "id", "left").join(degree, "id", "left")
-    named = named.select("content", F.coalesce("comp", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    found = signed.select("doc_id", "content").distinct().join(named, "content").drop("content")
-    whole = materialise(found, "classed")
+        held = own.sparkSession.sparkContext.broadcast(counts)
+        kinds = "key long, id long, rest long, mass double, size long, even boolean"
+        return own.mapInArrow(lambda it: _prefixes(it, held.value, k, threshold), kinds)
+
+    return link_buckets(node.select("id", "keys"), verify, finer=finer, finer_keep=_POSSIBLE.format(threshold), describe=describe)
+
+
+def _digest() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
+def _classed(docs: DataFrame, bands: int, rows: int, k: int, threshold: float) -> DataFrame:
+    """``doc_id, digest, class_id, head`` of texts with words, written; ``head``: the class's own text."""
+    signed, node = _nodes(docs, bands, rows, k)
+    comps = _components(docs, node, k, threshold)
+    own = F.struct("doc_id", "digest")
+    named = node.select("content", "id", own.alias("own")).join(small(materialise(comps, "comps")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = materialise(named.select("content", "comp", "own"), "named")
+    least = materialise(named.groupBy("comp").agg(F.min("own").alias("own"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("own").alias("least")), "least")
+    named = materialise(named.join(small(least), "comp", "left").select("content", F.coalesce("least", "own").alias("least")), "named")
+    found = signed.groupBy("doc_id", "digest", "content").agg(F.count("*").alias("copies")).join(named, "content")
+    found = found.select("doc_id", "digest", F.col("least.doc_id").alias("class_id"), F.col("least").eqNullSafe(own).alias("head"))
+    return materialise(found, "classed")
+
+
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id, class_size, kept``: a row for each document, that is, each different (id, text).
+
+    ``class_size`` counts a class's documents. Where an id has several texts,
+    each is a document of its own, and of one class one of them is kept.
+    """
+    whole = _classed(docs, bands, rows, k, threshold)
     sizes = whole.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    listed = whole.join(sizes, "class_id")
-    out = t.select("doc_id").distinct().join(listed, "doc_id", "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    sizes = materialise(sizes.where("class_size > 1"), "sizes")
+    out = texts(docs).select("doc_id", _digest().alias("digest")).distinct().join(whole, ["doc_id", "digest"], "left")
+    out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(small(sizes), "class_id", "left")
+    return out.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("head", F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that are not their class's first, all columns unchanged."""
-    gone = materialise(classes(docs, **how).where("not kept").select("doc_id"), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents that are not their class's first, all columns unchanged.
+
+    A document goes by its id and its text, so another text under the same id stays.
+    """
+    gone = _classed(docs, bands, rows, k, threshold).where("not head").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    gone = small(materialise(gone, "gone"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    match = (docs["doc_id"] == gone["__id"]) & (F.xxhash64(text, F.length(text)) == gone["__digest"])
+    return docs.join(gone, match, "left_anti")

@@ -108,10 +108,34 @@ def test_near_edges(spark):
     assert out.columns == table.columns and out.where("doc_id is null").count() == 2
     assert minhash.classes(table.limit(0)).count() == 0
     got = minhash.classes(table)
-    assert got.where("doc_id is not null").count() == len({r[0] for r in rows if r[0] is not None})
+    assert got.where("doc_id is not null").count() == len({r for r in rows if r[0] is not None})
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.where("doc_id is not null").collect())
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_one_large_family_of_near_copies(spark, seed):
+    """Copies of similarities 0.2 to 0.95 to their origin and to each other, with and without the origin."""
+    rng = random.Random(seed)
+    base, rows = prose(rng, 90), []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 20])):
+            words[at] = f"x{rng.randint(0, 30)}"
+        rows.append((i, " ".join(words)))
+    rows = [r for r in rows if seed % 2 or r[1] != " ".join(base)]
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_near_rows_of_one_id_with_different_texts(spark):
+    rows = near_rows()
+    copy = rows[0][1]
+    table = docs(spark, [(0, copy), (1, copy), (1, "quite another text than the one above"), (2, ""), (2, copy), (2, copy), (3, copy + " end")])
+    out = sorted((r.doc_id, r.text) for r in minhash.deduplicate(table).collect())
+    assert out == [(0, copy), (1, "quite another text than the one above"), (2, "")]
+    assert minhash.classes(table).count() == 6
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     els = rng.integers(0, 2**63, 60, dtype=np.uint64)
@@ -174,20 +198,71 @@ def test_simhash(spark):
     assert got == want
 
 
-def test_blocks_do_not_change_buckets_of_close_hashes(spark):
+def test_keys_of_lines_equal_plain_cuts(spark):
     rng = random.Random(7)
-    rows = []
-    for i in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), rng.randint(0, lines.BITS)):
-            b ^= 1 << k
-        rows.append((i, a - (1 << 63), b - (1 << 63)))
-    df = spark.createDataFrame(rows, "i long, a long, b long")
-    for blocks in (5, 6, 7):
-        meet = F.size(F.array_intersect(lines._buckets(F.col("a"), blocks), lines._buckets(F.col("b"), blocks)))
-        assert df.select(meet.alias("n")).where("n = 0").count() == 0
-    assert [lines.blocks_for(n) for n in (10, 1 << 22, 1 << 25, 1 << 40)] == [5, 5, 6, 8]
+    forms = [" ".join(prose(rng, n)) for n in (1, 2, 9, 10, 11, 21, 30, 47, 100, 170, 700)]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, form string")
+    got = {r.i: r.n for r in df.select("i", F.size(lines.keys(F.col("form"), F.split("form", " "))).alias("n")).collect()}
+    for i, f in enumerate(forms):
+        w, cuts = f.split(), set()
+        if len(w) <= lines.SHORT:
+            cuts = {tuple(w)} | {tuple(w[:k] + w[k + 1 :]) for k in range(len(w))}
+            cuts |= {(side, f[:at] if side else f[-at:]) for at in (len(f) // 2, (len(f) + 1) // 2) for side in (0, 1)}
+        for t, (low, size, step) in enumerate(lines.TIERS):
+            high = lines.TIERS[t + 1][0] if t + 1 < len(lines.TIERS) else 10**9
+            if low * 0.9 <= len(w) < high / 0.9:
+                at = range(0, (len(w) - 1) // 2 + 1, step)
+                cuts |= {(t, 0, k, *w[k : k + size]) for k in at} | {(t, 1, k, *w[len(w) - k - size : len(w) - k]) for k in at}
+        assert got[i] == len(cuts)
+
+
+def meet(spark, pairs):
+    """Whether the lines of each pair (kind, words, x, y) meet and pass what is asked before the edit distance."""
+    df = spark.createDataFrame(pairs, "kind string, words int, x string, y string").withColumn("i", F.monotonically_increasing_id()).persist()
+    both = df.select((F.col("i") * 2).alias("id"), F.col("x").alias("form")).unionByName(df.select((F.col("i") * 2 + 1).alias("id"), F.col("y").alias("form")))
+    sim = lines.simhashes(both)
+    one = df.join(sim.select((F.col("id") / 2).cast("long").alias("i"), (F.col("id") % 2).alias("side"), "simhash").groupBy("i").agg(F.bit_xor("simhash").alias("apart")), "i")
+    share = F.size(F.array_intersect(lines.keys(F.col("x"), F.split("x", " ")), lines.keys(F.col("y"), F.split("y", " ")))) > 0
+    short = F.least(F.size(F.split("x", " ")), F.size(F.split("y", " "))) <= lines.SHORT
+    return one.select("kind", "words", (share & (short | (F.bit_count("apart") <= lines.BITS))).alias("met")).collect()
+
+
+def by_length(rows):
+    out = {}
+    for r in rows:
+        size = next(k for k in (8, 16, 32, 64, 10**9) if r.words <= k)
+        out.setdefault((r.kind, size), []).append(r.met)
+    return {k: (sum(v) / len(v), len(v)) for k, v in out.items()}
+
+
+def test_recall_of_edited_lines(spark):
+    """One place of a line is edited so that its similarity is 0.85 or more: nine in ten meet at every length."""
+    rng = random.Random(5)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(250).collect()]
+    forms = sorted({" ".join(re.findall(r"[^\W_]+", x.lower())) for t in texts for x in (t or "").split("\n")})
+    pairs = []
+    for f in (f for f in forms if len(f) >= 7):
+        n, at = len(f.split()), rng.randrange(len(f))
+        pairs.append(("changed", n, f, " ".join((f[:at] + "q" + f[at + 1 :]).split())))
+        pairs.append(("more", n, f, f[:at] + "q" + f[at:]))
+        w = f.split()
+        k = rng.randrange(n)
+        if n > 1 and len(w[k]) + 1 <= 0.15 * len(f):
+            pairs.append(("word less", n, f, " ".join(w[:k] + w[k + 1 :])))
+    found = by_length(meet(spark, pairs))
+    assert all(share >= 0.9 for share, n in found.values() if n >= 20), found
+
+
+def test_recall_against_plain_edit_similarity(spark):
+    """All pairs of different lines with similarity 0.85 or more, by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    form = docs.select(F.explode(F.split("text", "\n")).alias("raw")).select(lines.normalised(F.col("raw")).alias("form")).where("form != ''").distinct()
+    form = form.withColumn("n", F.length("form")).withColumn("k", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / 0.85))).cast("int")).repartition(16).persist()
+    x = form.select(F.col("form").alias("x"), F.col("n").alias("nx"), F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    near = x.join(form.select(F.col("form").alias("y"), F.col("n").alias("ny"), "k"), "k").where("x < y and least(nx, ny) >= 0.85 * greatest(nx, ny)")
+    near = near.where(F.call_function("levenshtein", "x", "y", F.expr("int(floor(greatest(nx, ny) * 0.15 + 1e-9))")) >= 0).select("x", "y").collect()
+    found = by_length(meet(spark, [("any", len(r.x.split()), r.x, r.y) for r in near]))
+    assert len(near) > 300 and all(share >= 0.9 for share, n in found.values() if n >= 20), found
 
 
 def line_rows():
@@ -205,11 +280,11 @@ def line_rows():
 
 
 def brute_lines(spark, rows):
-    """Links are pairs of forms with close SimHashes and a small edit distance."""
+    """Links are pairs of forms with a small edit distance, whatever their hashes."""
     spots = [(i, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n"))]
     df = spark.createDataFrame(spots, "doc_id long, line int, raw string").select("doc_id", "line", lines.normalised(F.col("raw")).alias("form")).where("form != ''")
     forms = df.select(F.xxhash64("form").alias("id"), "form").distinct()
-    h = lines.simhashes(forms).join(forms, "id").collect()
+    h = forms.collect()
     root = {r.form: r.form for r in h}
 
     def find(x):
@@ -226,9 +301,9 @@ def brute_lines(spark, rows):
         return row[-1]
 
     for a, b in itertools.combinations(h, 2):
-        if bin((a.simhash ^ b.simhash) & (2**64 - 1)).count("1") <= lines.BITS:
-            if 1 - distance(a.form, b.form) / max(len(a.form), len(b.form)) >= lines.SIMILARITY - 1e-9:
-                root[find(a.form)] = find(b.form)
+        longer = max(len(a.form), len(b.form))
+        if abs(len(a.form) - len(b.form)) <= 0.15 * longer and 1 - distance(a.form, b.form) / longer >= lines.SIMILARITY - 1e-9:
+            root[find(a.form)] = find(b.form)
     first, dropped = {}, {}
     for r in sorted(df.collect(), key=lambda r: (r.doc_id, r.line)):
         c = find(r.form)
@@ -256,3 +331,12 @@ def test_lines_edges(spark):
     out = lines.deduplicate(table)
     assert out.columns == table.columns and out.where("doc_id is null").first().text == "a\na"
     assert lines.summary(table.limit(0)).count() == 0
+
+
+def test_lines_of_repeated_rows_and_ids(spark):
+    long = " ".join(f"word{i}" for i in range(120))
+    same = [(1, long)] * 6 + [(2, "-----\n-----\n" + long), (3, "ha " * 4000), (3, "first text\nonly here"), (3, "other text\nand there")]
+    table = docs(spark, same)
+    out = sorted((r.doc_id, r.text) for r in lines.deduplicate(table).collect())
+    assert out == sorted([(1, long)] * 6 + [(2, "-----\n-----"), (3, "ha " * 4000), (3, "first text\nonly here"), (3, "other text\nand there")])
+    assert lines.summary(table).count() == 5

@@ -58,21 +58,27 @@ def test_links_share_a_key_of_their_prefixes():
     counts = np.zeros(minhash.CELLS, np.int64)
     for found, _ in sets:
         np.add.at(counts, (found % np.uint64(minhash.CELLS)).astype(np.int64), 1)
-    keys = [set(minhash.prefix(f, w, counts, 0.8).tolist()) for f, w in sets]
+    keys = [dict(zip(key.tolist(), zip(rest.tolist(), mass.tolist()))) for key, rest, mass in (minhash.prefix(f, w, counts, 0.8) for f, w in sets)]
     links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if minhash.similarity(sets[a], sets[b]) >= 0.8 - 1e-9]
-    assert len(links) > 50 and all(keys[a] & keys[b] for a, b in links)
+    rule = "(" + minhash._POSSIBLE.format(0.8).replace("least", "min") + ")"
+
+    def possible(a, b, key):
+        (rest_p, mass_p), (rest_q, mass_q) = keys[a][key], keys[b][key]
+        even_p, even_q = (len(set(sets[i][1].tolist())) == 1 for i in (a, b))
+        return eval(rule, {}, {"rest_p": rest_p, "rest_q": rest_q, "mass_p": mass_p, "mass_q": mass_q, "size_p": len(sets[a][0]), "size_q": len(sets[b][0]), "even_p": even_p, "even_q": even_q, "min": min})
+
+    assert len(links) > 50 and all(any(possible(a, b, key) for key in keys[a].keys() & keys[b].keys()) for a, b in links)
 
 
 def test_one_bucket_with_many_families(spark):
-    rows = [(i, 7, i // 2) for i in range(100)]
-    members = spark.createDataFrame(rows, "id long, bucket long, family long")
-    same = members.select("id", "family")
+    same = spark.createDataFrame([(i, i // 2) for i in range(100)], "id long, family long")
+    nodes = same.select("id", F.array(F.lit(7).cast("long")).alias("keys"))
 
     def verify(pairs):
         out = pairs.join(same.select(F.col("id").alias("a"), F.col("family").alias("x")), "a").join(same.select(F.col("id").alias("b"), F.col("family").alias("y")), "b")
         return out.where("x = y").select("a", "b")
 
-    _, comps = groups.link_buckets(members.select("bucket", "id"), verify)
+    comps = groups.link_buckets(nodes, verify)
     assert {r.id: r.comp for r in comps.collect()} == {i: i // 2 * 2 for i in range(100)}
 
 
