@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import materialise, texts
+from .common import materialise, slices, texts
 
 FRAME_BYTES = 192
 RATE, UP, DOWN = 12_000, 2, 3
@@ -162,35 +162,55 @@ def tensor_array(tensors: np.ndarray) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(kind, flat)
 
 
-def _feature(found: dict) -> str:
-    """A text of what was computed: sizes, segments, mean of each mel band, digest of the tensors."""
-    mean = ",".join(f"{x:.1f}" for x in np.round(found["mel"].mean(axis=0, dtype=np.float64), 1) + 0.0)
-    inside = sum(b - a for a, b in found["segments"])
-    stored = hashlib.sha256(tensor_array(found["tensors"]).storage.flatten().to_numpy(zero_copy_only=False).tobytes()).hexdigest()[:16]
-    return f"frames={found['frames']};tensors={len(found['tensors'])};segments={len(found['segments'])};seconds={inside:.3f};mel={mean};sha={stored}"
+def packed(found: dict) -> bytes:
+    """An Arrow stream with a row for each tensor: ``part, start_s, stop_s, tensor`` (fixed-shape)."""
+    n = len(found["tensors"])
+    columns = {"part": pa.array(range(n), pa.int32()), "start_s": pa.array([a for a, _ in found["spans"]], pa.float64()), "stop_s": pa.array([b for _, b in found["spans"]], pa.float64()), "tensor": tensor_array(found["tensors"])}
+    rows = pa.record_batch(list(columns.values()), names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(stream: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The tensors ``(n, TENSOR_FRAMES, MELS)`` of a stream by :func:`packed` and their time spans."""
+    rows = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    tensor = rows.column("tensor").chunk(0)
+    return tensor.to_numpy_ndarray(), list(zip(rows.column("start_s").to_pylist(), rows.column("stop_s").to_pylist(), strict=True))
+
+
+def _feature(tensors: np.ndarray, spans: list[tuple[float, float]], segments_: list[tuple[float, float]], frames_: int) -> str:
+    """A text of what was stored: sizes, time in segments, mean of each mel band, digest of the tensors."""
+    mel = tensors.reshape(-1, MELS)[:frames_]
+    mean = ",".join(f"{x:.1f}" for x in np.round(mel.mean(axis=0, dtype=np.float64), 1) + 0.0)
+    inside = sum(b - a for a, b in segments_)
+    sha = hashlib.sha256(np.ascontiguousarray(tensors, np.float32).tobytes()).hexdigest()[:16]
+    return f"frames={frames_};tensors={len(tensors)};stop={spans[-1][1]:.3f};segments={len(segments_)};seconds={inside:.3f};mel={mean};sha={sha}"
 
 
 def extract(media: DataFrame) -> DataFrame:
-    """A row for each tensor of the stored files: ``doc_id, part, start_s, stop_s, tensor, segments``.
+    """What is computed from the stored files read back, a row for each.
 
-    ``tensor`` is the storage of the fixed-shape tensor (``array<float>`` of
-    TENSOR_FRAMES x MELS, row by row); segments, in seconds, are on a document's
-    first row.
+    ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, frames, segments, tensors``: segments in seconds; ``tensors``
+    is an Arrow stream (:func:`unpacked`) of fixed-shape tensors with time spans.
     """
-    kinds = "doc_id long, part int, start_s double, stop_s double, tensor array<float>, segments array<struct<start_s: double, stop_s: double>>"
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, segments array<struct<start_s: double, stop_s: double>>, tensors binary"
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())]))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span, pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "segments", "tensors"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, stored in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-                found = analyse(stored.as_py())
-                n = len(found["tensors"])
-                rest = [None] * (n - 1)
-                columns = [
-                    pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([a for a, _ in found["spans"]], pa.float64()), pa.array([b for _, b in found["spans"]], pa.float64()),
-                    tensor_array(found["tensors"]).storage.cast(pa.list_(pa.float32())), pa.array([found["segments"], *rest], span),
-                ]
-                yield pa.record_batch(columns, names=["doc_id", "part", "start_s", "stop_s", "tensor", "segments"])
+        for batch in slices(batches):
+            out = []
+            for key, size, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                stored = stored.as_py()
+                found = analyse(stored)
+                back = found["samples"]
+                out.append((key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), found["frames"], [{"start_s": a, "stop_s": b} for a, b in found["segments"]], packed(found)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return media.mapInArrow(of, kinds)
 
@@ -202,7 +222,7 @@ def store(docs: DataFrame) -> DataFrame:
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [t.as_py() for t in batch.column(1)]
             sizes = pa.array([len(t.encode("utf-8")) for t in raw], pa.int64())
             yield pa.record_batch([batch.column(0), sizes, pa.array([encode(payload(t)) for t in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -211,19 +231,16 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """A row for each stored document: what is read back, and its features."""
+    """A row for each stored document: what was read back, and its features from the stored tensors."""
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    stored = materialise(extract(media), "tensors", compression="zstd")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, size, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                stored = stored.as_py()
-                found = analyse(stored)
-                back = found["samples"]
-                out.append((key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), _feature(found)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in kinds.split(", ")])
-
-    return media.mapInArrow(of, kinds)
+        for batch in slices(batches):
+            features = []
+            for frames_, own, stream in zip(batch.column("frames").to_pylist(), batch.column("segments").to_pylist(), batch.column("tensors"), strict=True):
+                tensors, spans = unpacked(stream.as_py())
+                features.append(_feature(tensors, spans, [(x["start_s"], x["stop_s"]) for x in own], frames_))
+            yield pa.record_batch([*batch.columns[:7], pa.array(features, pa.string())], names=[*batch.schema.names[:7], "feature"])
+
+    return stored.mapInArrow(of, kinds)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS
+from .common import slices
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 TRAINED = "assistant"
@@ -86,9 +86,6 @@ def expand(conversations: DataFrame) -> DataFrame:
     conversation's rows are sorted in one partition and read as a stream; only
     its formatted text so far, which the next example repeats, is held.
     """
-    conf = conversations.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
@@ -115,7 +112,7 @@ def expand(conversations: DataFrame) -> DataFrame:
             out.clear()
             return made
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != conv:
                     close()
@@ -147,7 +144,7 @@ def digests(examples: DataFrame) -> DataFrame:
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             out = []
             for conv, example, _, text, a, b, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 turns = parse(text)

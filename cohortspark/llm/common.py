@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,15 +79,16 @@ def compact(df: DataFrame, rows: int = COMPACT_ROWS) -> DataFrame:
     return df.coalesce(1) if df.count() <= rows else df
 
 
-def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Only the key and the text, a null text being empty.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows. Spark itself bounds the bytes of those it sends
+    (``spark.sql.execution.arrow.maxBytesPerBatch``); the session's settings stay as they are."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
-    Texts go to Python in batches of at most ``ARROW_ROWS`` rows, so that a
-    batch of long texts fits a worker.
-    """
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Only the key and the text, a null text being empty."""
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 

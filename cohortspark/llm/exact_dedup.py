@@ -13,8 +13,8 @@ Defined results: a null text is empty; texts are compared without the
 characters of ``[\\x20\\x09-\\x0D]``, so empty and blank texts are equal. Of
 equal texts the row with most code points stays, then the least doc_id; null
 ids come last. Rows that repeat one doc_id with equal text are one document:
-:func:`decisions` gives each of them the same row, :func:`deduplicate` returns
-one of them. Columns other than id and text are carried untouched and may have
+:func:`decisions` gives each of them the same row. :func:`deduplicate` returns
+one row of each text, whatever ids repeat. Columns other than id and text are carried untouched and may have
 any name.
 """
 
@@ -48,18 +48,22 @@ def _cells(rows: int, shards: int) -> tuple[Column, Column, Column]:
     return (F.conv(F.substring("sha", 1, 8), 16, 10).cast("long") % shards).cast("int"), cell(9), cell(21) + per_shard
 
 
-def _flagged(digests: DataFrame, rows: int) -> DataFrame:
-    """``digests`` with ``suspect``: whether the text may occur more than once."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, sha, chars, suspect``, written; suspect: whether the text may occur more than once.
+
+    Digests are written by shard, so that each shard's branch reads its own alone.
+    """
+    rows = docs.count()
     shards = max(1, -(-rows // SHARD_ROWS))
     shard, one, two = _cells(rows, shards)
-    celled = digests.withColumns({"shard": shard, "one": one, "two": two})
+    digests = materialise(_digests(docs).withColumn("shard", shard), "digests", "shard" if shards > 1 else None)
+    celled = digests.withColumns({"one": one, "two": two})
     hit = celled.select("shard", F.explode(F.array("one", "two")).alias("cell")).groupBy("shard", "cell").count()
     # a cell's number is unique within its shard; both probes have cells of their own
     hit = materialise(hit.where("count > 1").select("shard", "cell"), "bloom", "shard" if shards > 1 else None)
     parts = []
     for k in range(shards):
-        cells = hit.where(F.col("shard") == k).select("cell")
-        cells = small(cells, 4 * SHARD_ROWS)
+        cells = small(hit.where(F.col("shard") == k).select("cell"), 4 * SHARD_ROWS)
         part = celled.where(F.col("shard") == k)
         for name in ("one", "two"):
             found = cells.select(F.col("cell").alias(name), F.lit(True).alias(f"hit_{name}"))
@@ -68,7 +72,7 @@ def _flagged(digests: DataFrame, rows: int) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(*digests.columns, "suspect")
+    return materialise(out.select("doc_id", "sha", "chars", "suspect"), "marked")
 
 
 def _order() -> Column:
@@ -77,9 +81,7 @@ def _order() -> Column:
 
 def decisions(docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``, one row for each row of ``docs(doc_id, text)``."""
-    digests = materialise(_digests(docs), "digests")
-    rows = digests.count()
-    marked = materialise(_flagged(digests, rows), "marked")
+    marked = _marked(docs)
     groups = marked.where("suspect").groupBy("sha").agg(F.max_by("doc_id", _order()).alias("keep_id"), F.count("*").alias("group_size"))
     groups = small(materialise(groups, "groups"))  # written, so that a hot digest's rows can be split over tasks
     again = marked.where("suspect").join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -90,18 +92,19 @@ def decisions(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each set of equal texts, all columns unchanged.
 
-    Rows without a suspect digest are taken from the scan as they are; only the
-    suspects' ids and digests are shuffled, and of their texts only the kept.
+    Rows whose text is found once are taken from the scan as they are, whatever
+    their ids. Of the others each task first picks its best row of a text, so a
+    hot text sends one row from each.
     """
-    found = materialise(decisions(docs).where("group_size > 1").select("doc_id", "kept").distinct(), "copies")
-    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    gone = small(materialise(found.where("not kept").select("doc_id"), "gone"))
-    left = row.join(gone, "doc_id", "left_anti")
-    heads = small(materialise(found.where("kept").select("doc_id"), "heads"))
-    alone = left.join(heads, "doc_id", "left_anti").select("r.*")
-    # equal rows under one id: one of them stays
-    one = left.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("r").alias("r")).select("r.*")
-    return alone.unionByName(one)
+    again = _marked(docs).where("suspect").groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("__sha"))
+    again = small(materialise(again, "again"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    sha = F.sha2(normalised(text).cast("binary"), 256)
+    alone = docs.join(again, sha == again["__sha"], "left_anti")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    order = F.struct(F.length(text), docs["doc_id"].isNotNull(), F.bitwise_not(docs["doc_id"]), text, F.to_json(row))
+    best = docs.join(again, sha == again["__sha"]).groupBy("__sha").agg(F.max_by(row, order).alias("r"))
+    return alone.unionByName(best.select("r.*"))
 
 
 def sql() -> str:

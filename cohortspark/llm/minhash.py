@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small, texts
+from .common import materialise, slices, small, texts
 from .groups import link_buckets
 
 WORDS, BANDS, ROWS, THRESHOLD = 5, 32, 5, 0.8
@@ -50,7 +50,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; emptied when it is full, so that memory stays bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -165,30 +165,28 @@ def _words(text: str) -> list[str]:
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, k: int) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     salt = _mix(np.arange(1, bands + 1, dtype=_U) * _ODD[2])
-    for batch in batches:
-        for a in range(0, batch.num_rows, 1024):
-            part = batch.slice(a, 1024)
-            ids, digests, content, sets = [], [], [], []
-            with np.errstate(over="ignore"):
-                for key, text, digest in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
-                    s = shingles(_words(text.as_py()), hashes, k)
-                    if not len(s):
-                        continue
-                    ids.append(key)
-                    digests.append(digest)
-                    content.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sets.append(weighted(s))
-                if not ids:
+    for part in slices(batches, 1024):
+        ids, digests, content, sets = [], [], [], []
+        with np.errstate(over="ignore"):
+            for key, text, digest in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+                s = shingles(_words(text.as_py()), hashes, k)
+                if not len(s):
                     continue
-                sig = signatures([e for e, _ in sets], [w for _, w in sets], bands * rows).reshape(len(ids), bands, rows)
-                key = np.zeros((len(ids), bands), _U)
-                for r in range(rows):
-                    key = _mix(key * _ODD[3] + sig[:, :, r])
-                key = _mix(key ^ salt[None, :])
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(content, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "content", "keys"],
-            )
+                ids.append(key)
+                digests.append(digest)
+                content.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sets.append(weighted(s))
+            if not ids:
+                continue
+            sig = signatures([e for e, _ in sets], [w for _, w in sets], bands * rows).reshape(len(ids), bands, rows)
+            key = np.zeros((len(ids), bands), _U)
+            for r in range(rows):
+                key = _mix(key * _ODD[3] + sig[:, :, r])
+            key = _mix(key ^ salt[None, :])
+        yield pa.record_batch(
+            [pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(content, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
+            names=["doc_id", "digest", "content", "keys"],
+        )
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -203,7 +201,7 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
                 held[key] = weighted(shingles(_words(text.as_py()), hashes, k))
         return held[key]
 
-    for batch in batches:
+    for batch in slices(batches):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         keep = [i for i in range(len(a)) if similarity(of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])) >= threshold - 1e-9]
         yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
@@ -248,7 +246,7 @@ def _sets(batch: pa.RecordBatch, hashes: _Hashes, k: int) -> Iterator[tuple[int,
 
 def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes, total = _Hashes(), np.zeros(CELLS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for _, found, _ in _sets(batch, hashes, k):
             np.add.at(total, (found % _U(CELLS)).astype(np.int64), 1)
     cells = np.flatnonzero(total)
@@ -257,7 +255,7 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for batch in batches:
+    for batch in slices(batches):
         for node, found, weights in _sets(batch, hashes, k):
             key, rest, mass = prefix(found, weights, counts, threshold)
             n = len(key)

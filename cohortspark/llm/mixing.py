@@ -14,7 +14,7 @@ of its own posterior and last rate: nothing is joined.
 
 Defined results: a null or blank text has no tokens, the prior as posterior and
 rate 1; it changes no total. Rows with a null or repeated doc_id have rates like
-all others (repeated rows count each). Labels that are null or unknown are not
+all others (each row counts, with the rate of its own text). Labels that are null or unknown are not
 learnt from; a label's repeats are one (the least). Without labelled documents the
 posterior is uniform. An empty table gives no rows. Other columns are not read.
 """
@@ -22,6 +22,7 @@ posterior is uniform. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -41,6 +42,8 @@ TRAIN_ROWS = 6000
 STEPS, TOLERANCE = 40, 1e-6
 #: Steps whose rates are one expression before they are written.
 NESTED = 10
+#: A residual beyond this share of all tokens is warned of: the targets cannot be met, or not in so many steps.
+FAR = 0.005
 
 
 def words(text: Column) -> Column:
@@ -75,25 +78,47 @@ def word_table(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
     return table, [math.log((per.get(i, 0) + 1.0) / (sum(per.values()) + len(DOMAINS))) for i in k]
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``row, doc_id, tokens, p_0 .. p_k`` for each row of ``docs``.
+def weights(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[DataFrame, list[float]]:
+    """One row ``w_0 .. w_k``, each the ``BUCKETS`` weights of a domain in order, and the log priors."""
+    table, prior = word_table(docs, labels, rows)
+    k = range(len(DOMAINS))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(table), "bucket", "left")
+    one = every.agg(F.array_sort(F.collect_list(F.struct("bucket", *[F.coalesce(f"w_{i}", F.lit(0.0)).alias(f"w_{i}") for i in k]))).alias("all"))
+    return materialise(one.select(*[F.col(f"all.w_{i}").alias(f"w_{i}") for i in k]), "weights"), prior
+
+
+def membership(docs: DataFrame, table: DataFrame, prior: list[float]) -> DataFrame:
+    """``docs`` with ``__tokens, __p_0 .. __p_k``: array functions on the row, beside the one row of :func:`weights`.
 
     The log odds of a document's words are divided by the root of their number,
     so that long documents keep a soft membership.
     """
-    table, prior = word_table(docs, labels, rows)
     k = range(len(DOMAINS))
-    t = texts(docs).select("doc_id", "text")
-    # counting words by row needs the row's own key, since ids may repeat or be null
-    keyed = t.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode(words(F.col("text"))).alias("word"))
-    seen = keyed.join(F.broadcast(table), _bucket() == F.col("bucket"), "left")
-    real = F.col("word") != ""
-    sums = seen.groupBy("row", "doc_id").agg(F.count(F.when(real, 1)).alias("tokens"), *[F.sum(F.when(real, F.coalesce(f"w_{i}", F.lit(0.0))).otherwise(0.0)).alias(f"s_{i}") for i in k])
-    z = [F.col(f"s_{i}") / F.sqrt(F.greatest("tokens", F.lit(1)).cast("double")) + F.lit(prior[i]) for i in k]
-    top = F.greatest(*z)
-    scored = sums.select("row", "doc_id", "tokens", *[F.exp(z[i] - top).alias(f"e_{i}") for i in k])
-    whole = reduce(lambda a, b: a + b, [F.col(f"e_{i}") for i in k])
-    return scored.select("row", "doc_id", "tokens", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in k])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    bare = F.filter(words(F.coalesce(F.col("text"), F.lit(""))), lambda w: w != "")
+    row = docs.select(*own, F.transform(bare, lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")).alias("__at"))
+    row = row.join(F.broadcast(table.select(*[F.col(f"w_{i}").alias(f"__w_{i}") for i in k])))
+    sums = [_sum(i) for i in k]
+    n = F.size("__at").cast("long")
+    row = row.select(*own, n.alias("__tokens"), *[(sums[i] / F.sqrt(F.greatest(n, F.lit(1)).cast("double")) + F.lit(prior[i])).alias(f"__z_{i}") for i in k])
+    top = F.greatest(*[F.col(f"__z_{i}") for i in k])
+    row = row.select(*own, "__tokens", *[F.exp(F.col(f"__z_{i}") - top).alias(f"__e_{i}") for i in k])
+    whole = reduce(lambda a, b: a + b, [F.col(f"__e_{i}") for i in k])
+    return row.select(*own, "__tokens", *[(F.col(f"__e_{i}") / whole).alias(f"__p_{i}") for i in k])
+
+
+def _sum(i: int) -> Column:
+    return F.aggregate("__at", F.lit(0.0), lambda a, b: a + F.get(F.col(f"__w_{i}"), b))
+
+
+def posteriors(docs: DataFrame, table: DataFrame, prior: list[float]) -> DataFrame:
+    """``doc_id, tokens, p_0 .. p_k`` for each row of ``docs``."""
+    got = membership(texts(docs), table, prior)
+    return got.select("doc_id", F.col("__tokens").alias("tokens"), *[F.col(f"__p_{i}").alias(f"p_{i}") for i in range(len(DOMAINS))])
+
+
+def _stepped(rate: Column, p: list[Column], slope: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [F.lit(s) * x for s, x in zip(slope, p, strict=True)]))
 
 
 def rates(member: DataFrame, target: dict[str, float] | None = None, total: float | None = None, steps: int = STEPS) -> tuple[DataFrame, dict]:
@@ -116,43 +141,47 @@ def rates(member: DataFrame, target: dict[str, float] | None = None, total: floa
     have, sums = got[0], list(got[1 : 1 + len(p)])
     if not have:
         nothing = dict.fromkeys(DOMAINS, 0.0)
-        return member.withColumn("rate", F.lit(1.0)), {"tokens": 0.0, "totals": nothing, "target": nothing, "steps": 0}
+        return member.withColumn("rate", F.lit(1.0)), {"tokens": 0.0, "totals": nothing, "target": nothing, "residual": 0.0, "slopes": []}
     goal = [s * (total or have) for s in share]
     whiten = np.linalg.pinv(np.array(got[1 + len(p) :]).reshape(len(p), len(p)) / have + 1e-4 * np.eye(len(p)))
-    rated, rate, taken = member, F.lit(1.0), 0
+    rated, rate, slopes = member, F.lit(1.0), []
     while True:
         e = [(a - b) / have for a, b in zip(sums, goal, strict=True)]
-        if max(map(abs, e)) <= TOLERANCE or taken == steps:
+        residual = max(map(abs, e))
+        if residual <= TOLERANCE or len(slopes) == steps:
             break
-        slope = (whiten @ np.array(e)).tolist()
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [F.lit(slope[i]) * p[i] for i in k]))
-        taken += 1
-        if taken % NESTED == 0:  # a written column instead of an ever deeper expression
+        slopes.append((whiten @ np.array(e)).tolist())
+        rate = _stepped(rate, p, slopes[-1])
+        if len(slopes) % NESTED == 0:  # a written column instead of an ever deeper expression
             rated, rate = materialise(rated.withColumn("rate", rate), "rates"), F.col("rate")
         sums = list(rated.agg(*[F.sum(n * x * rate) for x in p]).first())
     totals = {d: sums[i] for i, d in enumerate(DOMAINS)}
-    return rated.withColumn("rate", rate), {"tokens": have, "totals": totals, "target": dict(zip(DOMAINS, goal, strict=True)), "steps": taken}
+    if residual > FAR:
+        warnings.warn(f"the mixture is off its targets by {residual:.1%} of all tokens: {totals} instead of {goal}", stacklevel=2)
+    return rated.withColumn("rate", rate), {"tokens": have, "totals": totals, "target": dict(zip(DOMAINS, goal, strict=True)), "residual": residual, "slopes": slopes}
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, tokens, p_good, p_toxic, p_junk, rate``, one row for each row of ``docs``."""
-    member = materialise(posteriors(docs, labels, rows), "posteriors")
+    member = materialise(posteriors(docs, *weights(docs, labels, rows)), "posteriors")
     rated, _ = rates(member, target)
     return rated.select("doc_id", "tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("rate")).alias("rate"))
 
 
-def apply_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
+def apply_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with each document as often as its rate says, all columns unchanged.
 
     The whole part of a rate gives so many copies; its fraction one more if a
-    hash of the id falls below it, which keeps expected totals. Ids whose count
-    is 1 are not joined with anything.
+    hash of the id and text falls below it, which keeps expected totals. A rate
+    is an expression of the row's own posterior and the steps taken: no row is
+    joined with another or shuffled.
     """
-    rated = mix(docs, labels, target)
-    spin = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor("rate") + F.when(spin < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    other = rated.select("doc_id", times.cast("int").alias("times")).where("times != 1 and doc_id is not null").distinct()
-    other = materialise(other, "times")
-    row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    again = row.join(other, "doc_id", "left").where("times is null or times > 0")
-    return again.select("r", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1))))).select("r.*")
+    table, prior = weights(docs, labels, rows)
+    _, found = rates(materialise(posteriors(docs, table, prior), "posteriors"), target)
+    p = [F.col(f"__p_{i}") for i in range(len(DOMAINS))]
+    rate = reduce(lambda r, slope: _stepped(r, p, slope), found["slopes"], F.lit(1.0))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rated = membership(docs, table, prior).select(*own, F.when(F.col("__tokens") == 0, 1.0).otherwise(rate).alias("__rate"))
+    spin = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor("__rate") + F.when(spin < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
+    return rated.select(*own, F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("__copy")).select(*own)

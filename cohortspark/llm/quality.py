@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import held_out, slices, texts
 
 BITS = 20
 #: Most labelled texts that are learnt from, the first by a hash of their id.
@@ -45,7 +45,7 @@ class _Codes(dict):
     """Token to (word hash << 32 | shape hash); emptied when full."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         if token[0].isalnum() or token[0] == "_":
             shape = "0" if token.isdigit() else "A" if token.isupper() and len(token) > 1 else "Aa" if token[0].isupper() else "a"
@@ -105,7 +105,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train_on, rows: int)
     """``doc_id, text, label``: at most ``rows`` labelled texts, the first by a hash of their id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
     known = known.where(train_on).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return texts(docs).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    own = texts(docs).join(F.broadcast(known), "doc_id")
+    # of the texts under one id the least, so that every run learns from the same
+    return own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = _TOKEN.findall(text)
@@ -145,7 +147,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         weights, bias = held.value
-        for batch in batches:
+        for batch in slices(batches):
             out = np.full(batch.num_rows, bias)
             for i, text in enumerate(batch.column(1)):
                 tokens = _TOKEN.findall(text.as_py())
@@ -169,13 +171,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, thresh
     """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
     at = docs.columns.index("text")
-    texts(docs)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         weights, bias = held.value
         cut = np.log(threshold / (1 - threshold))
-        for batch in batches:
+        for batch in slices(batches):
             good = np.full(batch.num_rows, bias)
             for i, text in enumerate(batch.column(at)):
                 tokens = _TOKEN.findall(text.as_py() or "")
@@ -183,4 +184,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, thresh
                     good[i] += float(weights[features(tokens, codes)].sum(dtype=np.float64)) * SCALE / len(tokens)
             yield batch.filter(pa.array(good >= cut))
 
-    return docs.mapInArrow(of, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots do not pass otherwise
+    return plain.mapInArrow(of, plain.schema).toDF(*docs.columns)

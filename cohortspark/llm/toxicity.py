@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, texts
+from .common import held_out, slices, texts
 
 BITS, WINDOW = 18, 64
 #: Most labelled documents of either kind that are learnt from, the first by a hash of their id.
@@ -326,10 +326,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("label"))
     known = known.where(~held_out(5, 0))
     pick = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows * (2 - y)) for y in (0, 1)]
-    own = texts(docs).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id").dropDuplicates(["doc_id"])
+    own = texts(docs).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
+    own = own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of the texts under one id the least
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = pa.array([" ".join(_WORD.findall(t.as_py().lower())) for t in batch.column(1)], pa.string())
             yield pa.record_batch([batch.column(0), lists, batch.column(2)], names=["doc_id", "words", "label"])
 
@@ -350,7 +351,7 @@ class _Emissions(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = float(self.weights[word_features(word)].sum(dtype=np.float64))
         return found
@@ -364,7 +365,7 @@ def tag(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = _Emissions(held.value[0]) if held.value else None
-        for batch in batches:
+        for batch in slices(batches):
             scores, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             if emit is not None:
                 for a, b, chances in _batched(batch.column(1), emit, held.value[1]):

@@ -47,6 +47,8 @@ def test_exact_keeps_columns(spark):
     out = exact_dedup.deduplicate(extra)
     assert out.columns == extra.columns
     assert sorted(r.doc_id for r in out.collect()) == [2, 7, 8, 9]
+    again = docs(spark, [(0, "same text"), (1, "same text"), (1, "only here"), (None, "same text"), (None, "x  y"), (None, "xy")])
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.deduplicate(again).collect()) == [("0", "same text"), ("1", "only here"), ("None", "x  y")]
     assert exact_dedup.deduplicate(extra.limit(0)).count() == 0
     assert exact_dedup.decisions(extra.limit(0)).count() == 0
 

@@ -70,8 +70,14 @@ def test_audio_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(audio.encode(pad)), hashlib.sha256(audio.encode(pad)).hexdigest())
     assert by[4].feature == by[5].feature and by[1].feature == by[2].feature != by[4].feature
-    parts = audio.extract(stored.where("doc_id = 4")).collect()
-    assert [len(p.tensor) for p in parts] == [audio.TENSOR_FRAMES * audio.MELS] * len(parts) and parts[0].start_s == 0
+    for r in audio.extract(stored.where("doc_id in (4, 6)")).collect():
+        tensors, spans = audio.unpacked(r.tensors)
+        assert tensors.shape == (-(-r.frames // audio.TENSOR_FRAMES), audio.TENSOR_FRAMES, audio.MELS) and len(spans) == len(tensors)
+        found = audio.analyse(audio.encode(audio.payload({4: texts[3][1], 6: texts[6][1]}[r.doc_id])))
+        assert np.array_equal(tensors, found["tensors"]) and spans == found["spans"] and spans[0][0] == 0
+        assert [(x.start_s, x.stop_s) for x in r.segments] == found["segments"]
+        with pa.ipc.open_stream(r.tensors) as stream:
+            assert isinstance(stream.schema.field("tensor").type, pa.FixedShapeTensorType)
     assert audio.digests(audio.store(docs.limit(0))).count() == 0
     array = audio.tensor_array(np.zeros((2, audio.TENSOR_FRAMES, audio.MELS)))
     assert isinstance(array, pa.FixedShapeTensorArray) and array.type.shape == [audio.TENSOR_FRAMES, audio.MELS]
@@ -164,27 +170,32 @@ def test_reduction_keeps_the_optimum(seed):
 
 def test_ids_equal_the_tokenizer(spark):
     reference = Tokenizer.from_file(TOKENS)
-    reference.encode_special_tokens = True
     mine = packing.encoder(TOKENS)
-    odd = ["", " ", "a  b\n\n c\t", "<|endoftext|> x", "don't I'LL we've", "１２３ ½ x²", "e\u0301 \u200d 👩‍👩‍👧", "\x00\x1f", "'s's", " " * 300, "ab" * 3000, "日本語テキスト", "\r\n\r\n", "_a_b_ ..!!"]
+    runs = [" " * 2500, "\n" * 2000, "a" + " " * 1500 + "b", "x \n" + "\n " * 900 + "y<|endoftext|>" + "\t" * 1200 + "<|endoftext|>", "\u3000" * 700 + "z", "q" + "\n" * 800 + "(" + " " * 499]
+    odd = [*runs, "a <|endoftext|> b<|endoftext|><|endoftext", "", " ", "a  b\n\n c\t", "<|endoftext|> x", "don't I'LL we've", "１２３ ½ x²", "e\u0301 \u200d 👩‍👩‍👧", "\x00\x1f", "'s's", " " * 300, "ab" * 3000, "日本語テキスト", "\r\n\r\n", "_a_b_ ..!!"]
     texts = odd + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
     for t in texts:
-        assert mine.encode_ordinary(t) == reference.encode(t, add_special_tokens=False).ids
+        assert mine.ids(t) == reference.encode(t, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_ids_equal_the_tokenizer_on_any_text(text):
     test_ids_equal_the_tokenizer_on_any_text.t = t = getattr(test_ids_equal_the_tokenizer_on_any_text, "t", None) or Tokenizer.from_file(TOKENS)
-    t.encode_special_tokens = True
-    assert packing.encoder(TOKENS).encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(TOKENS).ids(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_runs_of_blanks():
+    mine = packing.encoder(TOKENS)
+    for text in (" " * 2_000_000, "\n" * 1_200_000 + "a", "word" + " " * 1_000_000 + "word"):
+        assert mine.own.decode(mine.ids(text)) == text
 
 
 def test_packing(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + [(-1, None), (-2, ""), (-3, "a"), (-3, "a"), (None, "b"), (-4, "word " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rank", F.lit("mine"))
     got = packing.pack(docs, TOKENS).collect()
-    encode = packing.encoder(TOKENS).encode_ordinary
+    encode = packing.encoder(TOKENS).ids
     pieces = {}
     for r in got:
         pieces.setdefault(r.doc_id, []).append(r)

@@ -160,7 +160,7 @@ def test_mixing_solves_the_constrained_problem(spark):
     n = r.tokens.sum()
     for i, d in enumerate(mixing.DOMAINS):
         assert abs((r.rate * r.tokens * r[f"p_{i}"]).sum() / n - target[d]) < 1e-3
-    assert info["steps"] > 1  # some rates are held at zero
+    assert len(info["slopes"]) > 1  # some rates are held at zero
 
 
 def test_mixing_edges(spark, tables):
