@@ -34,10 +34,12 @@ def population_frequency(loci: DataFrame, known: DataFrame) -> DataFrame:
     reference looked up for a deletion is the deleted sequence. Chromosome names
     match as they are, else with ``chr`` added or removed. NaN is null.
     """
-    look = F.when(F.col("variant_type") == "deletion", F.substring("alt_allele", 2, 1000)).otherwise(F.col("ref_allele"))
+    look = F.when(F.col("variant_type") == "deletion", F.expr("substring(alt_allele, 2)")).otherwise(F.col("ref_allele"))
     fine = known.withColumn("af", F.when(~F.isnan("af"), F.col("af")))
-    snv = fine.groupBy("chrom", "pos", "ref", F.col("alt").alias("_alt")).agg(F.first("af").alias("_snv"))
-    other = fine.where("alt_index = 0").groupBy("chrom", "pos", "ref").agg(F.first("af").alias("_indel"))
+    # of repeated records the first one, where their order is known
+    one = F.min_by("af", "ord") if "ord" in known.columns else F.min("af")
+    snv = fine.groupBy("chrom", "pos", "ref", F.col("alt").alias("_alt")).agg(one.alias("_snv"))
+    other = fine.where("alt_index = 0").groupBy("chrom", "pos", "ref").agg(one.alias("_indel"))
     out = loci.withColumns({"_ref": look, "_toggled": _toggled(F.col("chrom"))})
     for i, name in enumerate(("chrom", "_toggled")):
         s = snv.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.col("ref").alias("_r"), F.col("_alt").alias("_a"), F.col("_snv").alias(f"_snv{i}"))
@@ -57,7 +59,8 @@ def windows(loci: DataFrame, reference: DataFrame, flank: int = 10, chunk: int =
     equi-joins; loci of chromosomes that the reference lacks are dropped.
     """
     spots = loci.select("chrom", "pos").distinct()
-    near = F.array_distinct(F.transform(F.array(F.col("pos") - flank, F.col("pos"), F.col("pos") + flank), lambda p: F.floor(F.greatest(p, F.lit(0)) / chunk) * chunk))
+    at = lambda p: F.floor(F.greatest(p, F.lit(0)) / chunk)
+    near = F.transform(F.sequence(at(F.col("pos") - flank), at(F.col("pos") + flank)), lambda k: k * chunk)
     parts = spots.withColumn("chunk_start", F.explode(near)).join(reference, ["chrom", "chunk_start"])
     low = F.greatest(F.col("pos") - flank, F.col("chunk_start"))
     high = F.least(F.col("pos") + flank + 1, F.col("chunk_start") + F.length("seq"))

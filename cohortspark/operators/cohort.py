@@ -137,7 +137,7 @@ def selected_samples(rows: DataFrame) -> DataFrame:
 def strand_scatter(rows: DataFrame, most: int = 5000) -> DataFrame:
     """Strand counts of a reproducible sample: the ``most`` rows that come first by a hash of their key."""
     snv = rows.select("sample_id", "chrom", "pos", "ref_allele", "alt_allele", "fwd_alt_count", "rev_alt_count")
-    return snv.orderBy(F.xxhash64(*snv.columns), *snv.columns).limit(most)
+    return snv.orderBy(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in snv.columns])), *snv.columns).limit(most)
 
 
 def strand_band(x: int, z: float = 1.96) -> tuple[float, float]:

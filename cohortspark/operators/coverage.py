@@ -116,11 +116,13 @@ def binned(rows: DataFrame, size: int, adaptive: int | None = None, tracks: tupl
     return out.withColumn("end", end).drop("_bin", "_seg", "_low", "_first", "_last")
 
 
-def interval_summary(rows: DataFrame, samples: DataFrame, intervals: DataFrame) -> DataFrame:
+def interval_summary(rows: DataFrame, samples: DataFrame, intervals: DataFrame | None) -> DataFrame:
     """Depth statistics of named, unmerged intervals over all their positions, uncovered ones as zero.
 
-    A covered position counts for the last interval that starts at or before it.
+    Without intervals there is nothing to summarise by, which is an error. A covered position counts for the last interval that starts at or before it.
     """
+    if intervals is None:
+        raise ValueError("a summary by interval needs target intervals")
     named = intervals.select("chrom", "start", "end", "interval_name")
     spots = rows.select("chrom", "pos").distinct()
     own = last_interval(spots, named.withColumnRenamed("interval_name", "name"))

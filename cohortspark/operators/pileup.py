@@ -196,7 +196,7 @@ def _indel_alleles(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFra
     gone = events.where("kind = 'd'").select(*LOCUS, "size").distinct()
     from .annotate import windows
 
-    longest = 1000
+    longest = gone.agg(F.max("size")).first()[0] or 0  # one number
     spots = windows(gone.select("chrom", "pos").distinct(), reference, longest, chunk)
     deleted = gone.join(spots, ["chrom", "pos"]).select(*LOCUS, "size", F.substring(F.col("window"), F.col("window_at") + 2, F.col("size")).alias("cut"))
     events = events.join(deleted, [*LOCUS, "size"], "left")

@@ -481,7 +481,10 @@ def _(x):
     return cohort.read_stats_at_locus(x, "chr1", 17)
 
 
-@query("a35_strand_scatter", "alt_bases", None)
+_SCATTER = ["sample_id", "chrom", "pos", "ref_allele", "alt_allele", "fwd_alt_count", "rev_alt_count"]
+
+
+@query("a35_strand_scatter", "alt_bases", f"SELECT {', '.join(_SCATTER)} FROM alt_bases WHERE variant_type = 'SNV' ORDER BY md5(concat_ws('|', {', '.join(_SCATTER)})), {', '.join(_SCATTER)} LIMIT 5000")
 def _(a):
     return cohort.strand_scatter(a.where("variant_type = 'SNV'"))
 

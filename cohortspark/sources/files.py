@@ -37,16 +37,16 @@ def fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
     return cut.select("chrom", "chunk_start", F.substring(F.col("bases"), (F.col("chunk_start") + 1).cast("int"), F.lit(chunk)).alias("seq"))
 
 
-def vcf(spark: SparkSession, path: str) -> DataFrame:
+def vcf(spark: SparkSession, path: str, field: str = "AF") -> DataFrame:
     """``chrom, pos, ref, alt, alt_allele, alt_index, filter, af, ord`` of a text call set, a row for each allele.
 
-    ``alt_allele`` is spelled as in the cohort tables: a base, ``+SEQ`` or ``-SEQ``.
+    ``af`` is the value of the INFO ``field``. ``alt_allele`` is spelled as in the cohort tables: a base, ``+SEQ`` or ``-SEQ``.
     """
     if path.endswith(".bcf"):
         raise ValueError("binary call sets cannot be read without a native library; convert them to text")
     part = F.split("value", "\t")
     rows = _lines(spark, path).where("value not like '#%' and value != ''").select("ord", part.alias("f")).where(F.size("f") >= 7)
-    info = F.regexp_extract(F.concat(F.lit(";"), F.coalesce(F.get("f", F.lit(7)), F.lit(""))), r";AF=([^;]*)", 1)
+    info = F.regexp_extract(F.concat(F.lit(";"), F.coalesce(F.get("f", F.lit(7)), F.lit(""))), rf";{re.escape(field)}=([^;]*)", 1)
     rows = rows.select("ord", F.col("f")[0].alias("chrom"), (F.col("f")[1].cast("long") - 1).alias("pos"), F.upper(F.col("f")[3]).alias("ref"), F.upper(F.col("f")[4]).alias("alts"), F.col("f")[6].alias("filter"), info.alias("afs"))
     rows = rows.select("*", F.posexplode(F.split("alts", ",")).alias("alt_index", "alt"))
     kind = F.when(F.length("alt") > F.length("ref"), F.concat(F.lit("+"), F.expr("substring(alt, length(ref) + 1)"))).when(F.length("alt") < F.length("ref"), F.concat(F.lit("-"), F.expr("substring(ref, length(alt) + 1)"))).otherwise(F.col("alt"))
