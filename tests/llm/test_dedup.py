@@ -182,7 +182,15 @@ def test_line_distance(spark):
         for _ in range(rng.randint(0, 5)):
             b.insert(rng.randint(0, len(b)), "z") if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
         rows.append((a, "".join(b), rng.randint(0, 30)))
+    for _ in range(60):  # several pieces, edited or repeating themselves
+        a = " ".join(rng.choice(["ab", "ünd", "xyz", "same"]) for _ in range(rng.randint(0, 200)))
+        b = list(a if rng.random() < 0.8 else a[: len(a) // 2] * 2)
+        for _ in range(rng.randint(0, 40)):
+            b.insert(rng.randint(0, len(b)), "z") if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
+        rows.append((a, "".join(b), rng.randint(0, 60)))
     df = spark.createDataFrame(rows, "x string, y string, most int")
+    above = df.select(F.transform(F.array(F.struct("x", "y")), lambda p: lines._at_most(p))[0].alias("c"), F.levenshtein("x", "y").alias("d")).collect()
+    assert all(r.c >= r.d for r in above) and sum(r.c <= 2 * r.d for r in above) > 100
     got = df.select(lines._close("x", "y", "most").alias("c"), (F.levenshtein("x", "y") <= F.col("most")).alias("w")).collect()
     assert all(r.c == r.w for r in got)
 
