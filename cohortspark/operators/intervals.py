@@ -101,8 +101,11 @@ def last_interval(points: DataFrame, intervals: DataFrame, size: int = TILE) ->
 
 
 def track(points: DataFrame, scores: DataFrame, name: str, size: int = TILE) -> DataFrame:
-    """A column with the score of the interval over each place; chromosomes are bridged if not found as they are."""
+    """A column with the score of the interval over each place; chromosomes are bridged if not found as they are.
+
+    Of several the one with the largest start counts, then the largest end, then the highest score.
+    """
     spots = bridged(points.select("chrom", "pos").distinct(), scores)
     over = join_points(spots.select(F.col("chrom").alias("_spot"), "pos", F.col("_name").alias("chrom")).where("chrom is not null"), scores.select("chrom", "start", "end", "score"), size)
-    best = over.groupBy(F.col("_spot").alias("chrom"), "pos").agg(F.max_by("score", "_start").cast("float").alias(name))
+    best = over.groupBy(F.col("_spot").alias("chrom"), "pos").agg(F.max_by("score", F.struct("_start", "_end", "score")).cast("float").alias(name))
     return points.join(best, ["chrom", "pos"], "left")

@@ -180,3 +180,12 @@ def test_track(spark):
     scores = spark.createDataFrame([("chr1", 30, 60, 0.9), ("chr1", 60, 90, 0.3)], "chrom string, start long, end long, score double")
     got = {(x.chrom, x.pos): None if x.gem150 is None else round(x.gem150, 4) for x in intervals.track(p, scores, "gem150").collect()}
     assert got == {("1", 40): 0.9, ("chr1", 70): 0.3, ("chr1", 95): None}
+
+
+def test_track_of_intervals_with_one_start(spark):
+    """The longest one counts, in whatever order they come."""
+    p = spark.createDataFrame([("chr1", 40)], "chrom string, pos long")
+    spans = [("chr1", 30, e, float(e)) for e in (60, 90, 50)]
+    for rows in (spans, spans[::-1], spans[1:] + spans[:1]):
+        scores = spark.createDataFrame(rows, "chrom string, start long, end long, score double").coalesce(1)
+        assert intervals.track(p, scores, "gem", 64).first().gem == 90.0
