@@ -1,16 +1,12 @@
 """Pileup: aligned reads to counts by place and allele, as staged aggregates.
 
-Reads are filtered before anything is exploded, a CIGAR is walked once, and the
-exploded bases are brought together by place in a single exchange that serves
-both the fragment and the locus aggregation.
+Reads are filtered before anything is exploded, and a CIGAR is walked by expressions.
+Only reads are shuffled, by name; their bases are counted where they are, as numbers,
+and what is shuffled by place are these counts.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +14,6 @@ from ..functions.alleles import compatible, n_runs
 
 # Flag bits of the alignment format.
 PAIRED, PROPER, REVERSE, READ1, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x1, 0x2, 0x10, 0x40, 0x100, 0x400, 0x800
-_OP = re.compile(r"(\d+)([MIDNSHP=X])")
 LOCUS = ["sample_id", "chrom", "pos"]
 
 
@@ -28,74 +23,65 @@ def usable(reads: DataFrame, min_mapq: int = 0, duplicates: bool = False, second
     return reads.where((F.col("flag").bitwiseAND(drop) == 0) & (F.col("mapq") >= min_mapq))
 
 
-def walk(cigar: str, start: int) -> Iterator[tuple[int, int, str, int]]:
-    """``(reference place, place in the read, kind, length)`` of a CIGAR.
+def _walk(cigar: Column) -> Column:
+    """The blocks of a CIGAR as ``(kind, ref, at, size, rows)``: ``ref`` from the read's start, ``at`` in the read.
 
-    Kinds: M a base; D a deleted and N a skipped base; and, at the anchor base
-    before them, I an insertion of ``length`` bases and d a deletion of as many.
+    Kinds: M bases; D deleted and N skipped bases; and, at the anchor base
+    before them, I an insertion of ``size`` bases and d a deletion of as many.
+    """
+    block = lambda kind, ref, at, size, rows: F.struct(F.lit(kind).alias("kind"), ref.cast("long").alias("ref"), at.cast("int").alias("at"), size.alias("size"), rows.alias("rows"))
+    number = lambda x: F.left(x, F.length(x) - 1).cast("int")
+    none = F.array().cast("array<struct<kind:string,ref:bigint,at:int,size:int,rows:int>>")
+
+    def step(s: Column, x: Column) -> Column:
+        size, op, ref, at = number(x), F.right(x, F.lit(1)), s["ref"], s["at"]
+        base, gap = op.isin("M", "=", "X"), op.isin("D", "N")
+        own = (
+            F.when(size == 0, none).when(base, F.array(block("M", ref, at, size, size))).when((op == "I") & s["anchored"], F.array(block("I", ref - 1, at, size, F.lit(1))))
+            .when((op == "D") & s["anchored"], F.array(block("d", ref - 1, at - 1, size, F.lit(1)), block("D", ref, at, size, size)))
+            .when(op == "D", F.array(block("D", ref, at, size, size))).when(op == "N", F.array(block("N", ref, at, size, size))).otherwise(none)
+        )
+        ahead = F.when(base | gap, size).otherwise(0)
+        read = F.when(base | op.isin("I", "S"), size).otherwise(0)
+        return F.struct((ref + ahead).cast("long").alias("ref"), (at + read).cast("int").alias("at"), (s["anchored"] | base).alias("anchored"), F.concat(s["out"], own).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("ref"), F.lit(0).alias("at"), F.lit(False).alias("anchored"), none.alias("out"))
+    each = F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1), start, step, lambda s: s["out"])
+    # most reads are one block
+    return F.when(cigar.rlike("^[0-9]*[1-9][0-9]*[M=X]$"), F.array(block("M", F.lit(0), F.lit(0), number(cigar), number(cigar)))).otherwise(each)
+
+
+def by_fragment(reads: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Reads of a name together: an aggregation by place and name of their bases needs no other exchange.
+
+    Their number of partitions is fixed (``spark.sql.shuffle.partitions``), since AQE sizes
+    them by the reads' bytes, which the bases exceed many times.
     """
-    ref, read, anchored = start, 0, False
-    for size, op in ((int(n), o) for n, o in _OP.findall(cigar)):
-        if op in "M=X":
-            for _ in range(size):
-                yield ref, read, "M", 1
-                ref, read = ref + 1, read + 1
-            anchored = True
-        elif op == "I":
-            if anchored:
-                yield ref - 1, read, "I", size
-            read += size
-        elif op == "D":
-            if anchored:
-                yield ref - 1, read - 1, "d", size
-            for i in range(size):
-                yield ref + i, read, "D", 1
-            ref += size
-        elif op == "N":
-            for i in range(size):
-                yield ref + i, read, "N", 1
-            ref += size
-        elif op == "S":
-            read += size
-
-
-_COLUMNS = [
-    ("sample_id", pa.string()), ("chrom", pa.string()), ("pos", pa.int64()), ("qname", pa.string()), ("ordinal", pa.int64()), ("kind", pa.string()), ("base", pa.string()),
-    ("size", pa.int32()), ("qual", pa.int32()), ("at", pa.int32()), ("flag", pa.int32()), ("mapq", pa.int32()), ("tlen", pa.int32()), ("seq", pa.string()), ("hard5", pa.int32()), ("ab", pa.int32()), ("ba", pa.int32()), ("cd", pa.int32()),
-]
-_DDL = ", ".join(f"{n} {dict(string='string', int64='long', int32='int')[str(t)]}" for n, t in _COLUMNS)
-
-
-def _explode(batches: Iterator[pa.RecordBatch], with_seq: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for r in batch.to_pylist():
-            tags = dict(r["tags"] or ())
-            ops = _OP.findall(r["cigar"])
-            reverse = r["flag"] & REVERSE
-            end = ops[-1] if reverse else ops[0] if ops else ("0", "")
-            hard = int(end[0]) if ops and end[1] == "H" and (not reverse or len(ops) > 1) else 0
-            seq, quals = r["seq"].upper(), r["quals"] or []
-            for ref, at, kind, size in walk(r["cigar"], r["pos"]):
-                base = seq[at] if kind == "M" else seq[at : at + size] if kind == "I" else ""
-                qual = quals[at] if kind == "M" and at < len(quals) else None
-                out.append((r["sample_id"], r["chrom"], ref, r["qname"], r["read_ordinal"], kind, base, size, qual, at, r["flag"], r["mapq"], r["tlen"], seq if with_seq else None, hard, tags.get("aD"), tags.get("bD"), tags.get("cD")))
-            if len(out) > 100_000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_COLUMNS)
-    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(cols, _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
-
-
-def bases(reads: DataFrame, with_seq: bool = False, partitions: int | None = None) -> DataFrame:
-    """A row for each aligned base or event, hash-partitioned by place for what follows."""
-    columns = ["sample_id", "read_ordinal", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "quals", "tlen", "tags"]
-    rows = reads.select(*columns).mapInArrow(lambda it: _explode(it, with_seq), _DDL)
-    return rows.repartition(partitions, *LOCUS) if partitions else rows.repartition(*LOCUS)
+    return reads.repartition(partitions or int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "qname")
+
+
+def bases(reads: DataFrame) -> DataFrame:
+    """A row for each aligned base or event, in the reads' partitions; ``seq`` is the whole read."""
+    reverse = F.col("flag").bitwiseAND(REVERSE) != 0
+    hard = F.when(reverse, F.regexp_extract("cigar", r"[MIDNSHP=X](\d+)H$", 1)).otherwise(F.regexp_extract("cigar", r"^(\d+)H", 1))
+    tag = lambda k: F.try_element_at("tags", F.lit(k)).cast("int")
+    blocks = reads.select(
+        "sample_id", "chrom", "qname", F.col("read_ordinal").alias("ordinal"), "flag", "mapq", "tlen", F.col("pos").alias("start"), F.upper("seq").alias("seq"), "quals", "cigar", "tags", F.explode(_walk(F.col("cigar"))).alias("b"),
+    )
+    rows = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b.rows") - 1)))
+    kind = F.col("b.kind")
+    at = F.col("b.at") + F.when(kind == "M", F.col("i")).otherwise(0)
+    missing = F.raise_error(F.concat(F.lit("read "), "qname", F.lit(" has fewer bases than its CIGAR")))
+    base = F.when(kind == "I", F.substring("seq", at + 1, F.col("b.size"))).when(kind != "M", "").when(at < F.length("seq"), F.substring("seq", at + 1, F.lit(1))).otherwise(missing)
+    size = F.when(kind.isin("I", "d"), F.col("b.size")).otherwise(1)
+    return rows.select(
+        "sample_id", "chrom", (F.col("start") + F.col("b.ref") + F.col("i")).alias("pos"), "qname", "ordinal", kind.alias("kind"), base.alias("base"), size.alias("size"), F.when(kind == "M", F.get("quals", at)).alias("qual"), at.alias("at"), "flag", "mapq", "tlen",
+        "seq", F.coalesce(F.when(hard != "", hard).cast("int"), F.lit(0)).alias("hard5"), tag("aD").alias("ab"), tag("bD").alias("ba"), tag("cD").alias("cd"),
+    )
+
+
+def _plain(reads: DataFrame, min_base_qual: int) -> DataFrame:
+    return bases(reads).where((F.col("kind") == "M") & (F.coalesce("qual", F.lit(0)) >= min_base_qual))
 
 
 def in_region(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
@@ -158,21 +144,70 @@ def _with_reference(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFr
     return out.withColumn("ref", base).drop("seq", "chunk_start").where("ref != '' and ref != 'N'")
 
 
+def _code(base: Column) -> Column:
+    """A read's allele, whether it is the first of its pair, and whether it is forward, in a number that orders like them."""
+    return F.ascii(base) * 4 + (F.col("flag").bitwiseAND(READ1) != 0).cast("int") * 2 + (F.col("flag").bitwiseAND(REVERSE) == 0).cast("int")
+
+
+def _pairs(plain: DataFrame) -> DataFrame:
+    """``lo, hi, early, n``: by place, how many fragments of two reads have these codes; ``early`` is the earlier read's."""
+    own = plain.select(*LOCUS, "qname", "ordinal", _code(F.col("base")).alias("code")).groupBy(*LOCUS, "qname").agg(
+        F.count("*").alias("reads"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.min_by("code", "ordinal").alias("early"),
+    )
+    early = F.when(F.col("first") == F.col("last"), F.col("lo")).otherwise(F.col("early"))
+    return own.where("reads = 2").groupBy(*LOCUS, "lo", "hi", early.alias("early")).agg(F.count("*").alias("n"))
+
+
+def _read(code: Column) -> Column:
+    """The read that a code stands for, as in fragments."""
+    return F.struct(F.char(F.floor(code / 4)).alias("allele"), (code.bitwiseAND(2) != 0).alias("first"), (code.bitwiseAND(1) != 0).alias("fwd"))
+
+
+def _loci(reads: DataFrame, reference: DataFrame, min_base_qual: int, chunk: int) -> DataFrame:
+    """A row for each place of a known reference base: ``ref``, depths, its counts, and ``others``, those of other alleles.
+
+    Reads of a fragment count singly unless it has two. So all reads are counted by
+    allele and strand, without regard to fragments; fragments of two are counted by what
+    their reads show; and at each place the latter's reads are taken off the former and what
+    a pair adds is put in. This is in whole numbers, thus exact, and keeps no list of reads.
+    """
+    single = _plain(reads, min_base_qual).groupBy(*LOCUS, _code(F.col("base")).alias("lo")).agg(F.count("*").alias("n"))
+    no = F.lit(None).cast("int")
+    seen = single.select(*LOCUS, "lo", no.alias("hi"), no.alias("early"), "n").unionByName(_pairs(_plain(by_fragment(reads), min_base_qual)))
+    seen = seen.withColumns({"a": _read(F.col("lo")), "b": _read(F.col("hi")), "pair": F.col("hi").isNotNull()})
+    known = lambda r: (F.col(r)["allele"] != "N").cast("int")
+    forward = lambda r: F.col(r)["fwd"].cast("int")
+    # the strand of a pair is that of its first read: the earlier one if it is, else the other
+    later = F.col("lo") + F.col("hi") - F.col("early")
+    lead = F.when(F.col("early").bitwiseAND(2) != 0, F.col("early")).otherwise(later).bitwiseAND(1)
+    depth = F.when(F.col("pair"), 1 - known("a") - known("b")).otherwise(known("a"))
+    fwd = F.when(F.col("pair"), lead - known("a") * forward("a") - known("b") * forward("b")).otherwise(known("a") * forward("a"))
+    at = seen.groupBy(*LOCUS).agg(
+        F.sum(depth * F.col("n")).cast("int").alias("total_depth"), F.sum(fwd * F.col("n")).cast("int").alias("fwd_depth"), F.sum(F.when(F.col("pair"), F.col("n")).otherwise(0)).cast("int").alias("overlap_depth"),
+        F.collect_list(F.struct("a", "b", "pair", "n")).alias("seen"),
+    )
+    at = _with_reference(at.where("total_depth > 0"), reference, chunk)
+    keys = [*LOCUS, "ref", "total_depth", "fwd_depth", "overlap_depth"]
+    entries = at.select(*keys, F.explode("seen").alias("s")).select(*keys, "s.*").withColumn("reads", F.when(F.col("pair"), F.array("a", "b")).otherwise(F.array("a")))
+    alone = F.transform(F.filter("reads", lambda e: e["allele"] != "N"), _single).cast(f"array<{_ENTRY}>")
+    weigh = lambda x, sign: F.transform(x, lambda e: F.struct(e.alias("e"), (sign * F.col("n")).alias("w")))
+    added = F.when(F.col("pair"), F.concat(weigh(_snv_tally(F.col("ref")), F.lit(1)), weigh(alone, F.lit(-1)))).otherwise(weigh(alone, F.lit(1)))
+    tally = entries.select(*keys, F.explode(added).alias("t")).select(*keys, "t.e.*", "t.w").withColumnRenamed("n", "one")
+    counts = tally.groupBy(*keys, "allele").agg(*[F.sum(F.col(c) * F.col("w")).cast("int").alias(name) for c, name in (("one", "n"), ("fwd", "fwd"), ("rev", "rev"), ("agree", "agree"), ("disagree", "disagree"))])
+    every = counts.where("n > 0").groupBy(*keys).agg(F.collect_list(F.struct("allele", "n", "fwd", "rev", "agree", "disagree")).alias("counts"))
+    own = F.get(F.filter("counts", lambda c: c["allele"] == F.col("ref")), F.lit(0))
+    refs = [F.coalesce(own[c], F.lit(0)).alias(name) for c, name in (("n", "ref_count"), ("fwd", "fwd_ref_count"), ("rev", "rev_ref_count"), ("agree", "overlap_ref_agree"))]
+    return every.select(*keys, (F.col("total_depth") - F.col("fwd_depth")).alias("rev_depth"), *refs, F.filter("counts", lambda c: c["allele"] != F.col("ref")).alias("others"))
+
+
 def alt_bases(reads: DataFrame, reference: DataFrame, min_mapq: int = 0, min_base_qual: int = 0, chunk: int = 1 << 16, **include) -> DataFrame:
     """A row for each place and allele other than the reference: depths, counts by strand, pair agreement."""
-    rows = bases(usable(reads, min_mapq, **include))
-    plain = rows.where((F.col("kind") == "M") & (F.coalesce("qual", F.lit(0)) >= min_base_qual))
-    fragments = _fragments(plain, F.col("base"))
-    depths = _with_reference(fragment_depth(fragments).where("total_depth > 0"), reference, chunk)
-    keyed = fragments.join(depths.select(*LOCUS, "ref"), LOCUS)
-    tally = keyed.select(*LOCUS, F.explode(_snv_tally(F.col("ref"))).alias("t")).select(*LOCUS, "t.*")
-    counts = tally.groupBy(*LOCUS, "allele").agg(*[F.sum(c).cast("int").alias(c) for c in ("n", "fwd", "rev", "agree", "disagree")])
-    own = counts.select(*LOCUS, F.col("allele").alias("ref"), F.col("n").alias("ref_count"), F.col("fwd").alias("fwd_ref_count"), F.col("rev").alias("rev_ref_count"), F.col("agree").alias("overlap_ref_agree"))
-    loci = depths.join(own, [*LOCUS, "ref"], "left").na.fill(0, ["ref_count", "fwd_ref_count", "rev_ref_count", "overlap_ref_agree"])
-    indels = _indel_counts(rows, reference, chunk)
-    found = counts.withColumn("variant_type", F.lit("SNV")).unionByName(indels)
-    out = loci.join(found, LOCUS).where("allele != ref and allele != 'N'")
-    return out.select(
+    own = usable(reads, min_mapq, **include)
+    loci = _loci(own, reference, min_base_qual, chunk)
+    whole = [c for c in loci.columns if c != "others"]
+    snv = loci.select(*whole, F.explode("others").alias("c")).select(*whole, "c.*").withColumn("variant_type", F.lit("SNV"))
+    indel = loci.select(*whole).join(_indel_counts(own, reference, chunk), LOCUS).where("allele != ref and allele != 'N'")
+    return snv.unionByName(indel).select(
         *LOCUS, F.col("ref").alias("ref_allele"), F.col("allele").alias("alt_allele"), "variant_type", "total_depth", F.col("n").alias("alt_count"), "ref_count", "fwd_depth", "rev_depth",
         F.col("fwd").alias("fwd_alt_count"), F.col("rev").alias("rev_alt_count"), "fwd_ref_count", "rev_ref_count", "overlap_depth", F.col("agree").alias("overlap_alt_agree"), F.col("disagree").alias("overlap_alt_disagree"), "overlap_ref_agree",
     )
@@ -190,9 +225,9 @@ def _indel_tally() -> Column:
     return F.when(F.size(r) == 2, pair).otherwise(each)
 
 
-def _indel_alleles(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
+def _indel_alleles(reads: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
     """Every read at places that have an indel, with ``allele``: ``+SEQ``, ``-SEQ`` or empty."""
-    events = rows.where(F.col("kind").isin("I", "d"))
+    events = bases(reads.where(F.col("cigar").rlike("[ID]"))).where(F.col("kind").isin("I", "d"))
     gone = events.where("kind = 'd'").select(*LOCUS, "size").distinct()
     from .annotate import windows
 
@@ -203,12 +238,12 @@ def _indel_alleles(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFra
     allele = F.when(F.col("kind") == "I", F.concat(F.lit("+"), "base")).when(F.length("cut") == F.col("size"), F.concat(F.lit("-"), "cut"))
     events = events.select(*LOCUS, "qname", "ordinal", allele.alias("allele"))
     at = events.select(*LOCUS).distinct()
-    own = rows.where(F.col("kind").isin("M", "D")).join(at, LOCUS, "left_semi")
+    own = bases(reads).where(F.col("kind").isin("M", "D")).join(at, LOCUS, "left_semi")
     return own.join(events.where("allele is not null"), [*LOCUS, "qname", "ordinal"], "left").withColumn("allele", F.coalesce("allele", F.lit("")))
 
 
-def _indel_counts(rows: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
-    fragments = _fragments(_indel_alleles(rows, reference, chunk), F.col("allele"))
+def _indel_counts(reads: DataFrame, reference: DataFrame, chunk: int) -> DataFrame:
+    fragments = _fragments(_indel_alleles(reads, reference, chunk), F.col("allele"))
     tally = fragments.select(*LOCUS, F.explode(_indel_tally()).alias("t")).select(*LOCUS, "t.*")
     counts = tally.groupBy(*LOCUS, "allele").agg(*[F.sum(c).cast("int").alias(c) for c in ("n", "fwd", "rev", "agree", "disagree")])
     return counts.withColumn("variant_type", F.when(F.col("allele").startswith("+"), "insertion").otherwise("deletion"))
@@ -222,8 +257,7 @@ def cycle() -> Column:
 
 def alt_reads(reads: DataFrame, found: DataFrame, min_mapq: int = 0, min_base_qual: int = 0, **include) -> DataFrame:
     """A row for each read that supports a SNV of ``found``; of a pair that agrees only its first read."""
-    rows = bases(usable(reads, min_mapq, **include), with_seq=True)
-    plain = rows.where((F.col("kind") == "M") & (F.coalesce("qual", F.lit(0)) >= min_base_qual))
+    plain = _plain(by_fragment(usable(reads, min_mapq, **include)), min_base_qual)
     loci = found.where("variant_type = 'SNV'").select(*LOCUS, F.col("alt_allele").alias("base")).distinct()
     hit = plain.join(loci, [*LOCUS, "base"], "left_semi")
     first = F.col("flag").bitwiseAND(READ1) != 0
@@ -247,7 +281,7 @@ def normal_evidence(tumor: DataFrame, reads: DataFrame, normal_sample: str, min_
     gives no row. All loci are looked up in one join, not one by one.
     """
     loci = tumor.select(F.col("sample_id").alias("tumor_sample_id"), "chrom", "pos", "ref_allele", F.col("alt_allele").alias("tumor_alt_allele")).distinct()
-    plain = bases(usable(reads, min_mapq, **include)).where((F.col("kind") == "M") & (F.coalesce("qual", F.lit(0)) >= min_base_qual))
+    plain = _plain(usable(reads, min_mapq, **include), min_base_qual)
     plain = plain.join(loci.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
     own = plain.groupBy("chrom", "pos", "qname").agg(F.min_by("base", "ordinal").alias("base")).where("base != 'N'")
     counts = own.groupBy("chrom", "pos", "base").agg(F.count("*").cast("int").alias("n"))

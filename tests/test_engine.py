@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,61 @@ def test_track_of_intervals_with_one_start(spark):
     for rows in (spans, spans[::-1], spans[1:] + spans[:1]):
         scores = spark.createDataFrame(rows, "chrom string, start long, end long, score double").coalesce(1)
         assert intervals.track(p, scores, "gem", 64).first().gem == 90.0
+
+
+def _plan(df):
+    """The plan as it ran, with the exchanges that were reused."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def _small(spark):
+    ref = spark.createDataFrame([("chr1", 0, "ACGT" * 20)], schemas.REFERENCE)
+    return reads(spark, [read("a", 10, "CCCAC", cigar="3M1I1M", flag=0x63), read("a", 10, "CCCNC", flag=0x93), read("b", 10, "CCCC", cigar="2M3D2M")]), ref
+
+
+def test_pileup_has_no_python(spark):
+    r, ref = _small(spark)
+    assert "MapInArrow" not in _plan(pileup.alt_bases(r, ref))
+
+
+def test_reads_of_one_ordinal(spark):
+    """Both reads of a pair count, though nothing tells which is the earlier."""
+    r = reads(spark, [read("q", 50, "T", flag=0x63), read("q", 50, "G", flag=0x93)]).withColumn("read_ordinal", F.lit(1).cast("long"))
+    ref = spark.createDataFrame([("chr1", 0, "C" * 300)], schemas.REFERENCE)
+    assert {x.alt_allele: (x.total_depth, x.alt_count, x.overlap_alt_disagree) for x in pileup.alt_bases(r, ref).collect()} == {"T": (1, 1, 1), "G": (1, 1, 1)}
+
+
+def _walked(cigar):
+    ref, at, anchored, out = 0, 0, False, []
+    for size, op in ((int(x[:-1]), x[-1]) for x in re.findall(r"\d+[MIDNSHP=X]", cigar)):
+        if op in "M=X":
+            out += [(ref + i, at + i, "M", 1) for i in range(size)]
+            ref, at, anchored = ref + size, at + size, True
+        elif op == "I":
+            out += [(ref - 1, at, "I", size)] if anchored else []
+            at += size
+        elif op in "DN":
+            out += [(ref - 1, at - 1, "d", size)] if anchored and op == "D" else []
+            out += [(ref + i, at, op, 1) for i in range(size)]
+            ref += size
+        elif op == "S":
+            at += size
+    return out
+
+
+def test_cigars(spark):
+    rng = random.Random(7)
+    cigars = ["5M", "3=", "*", "2S3M1I2M2D3M4N2M1S2H", "2I3M", "1D4M", "3H2S"] + ["".join(f"{rng.randint(1, 4)}{rng.choice('MIDNS=X')}" for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    made = [read(f"q{i}", 100, "ACGTN" * 8, cigar=c) for i, c in enumerate(cigars)]
+    got = {}
+    for x in pileup.bases(reads(spark, made)).collect():
+        got.setdefault(x.qname, []).append((x.pos - 100, x.at, x.kind, x.size))
+        want = ("ACGTN" * 8)[x.at : x.at + x.size] if x.kind in "MI" else ""
+        assert x.base == want and x.qual == (40 if x.kind == "M" else None)
+    assert {q: sorted(v) for q, v in got.items()} == {f"q{i}": sorted(_walked(c)) for i, c in enumerate(cigars) if _walked(c)}
+
+
+def test_too_few_bases_are_an_error(spark):
+    with pytest.raises(Exception, match="fewer bases"):
+        pileup.bases(reads(spark, [read("q", 10, "ACG", cigar="5M")])).select("base").collect()
