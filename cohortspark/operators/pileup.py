@@ -281,13 +281,12 @@ def normal_evidence(tumor: DataFrame, reads: DataFrame, normal_sample: str, min_
     gives no row. All loci are looked up in one join, not one by one.
     """
     loci = tumor.select(F.col("sample_id").alias("tumor_sample_id"), "chrom", "pos", "ref_allele", F.col("alt_allele").alias("tumor_alt_allele")).distinct()
-    plain = _plain(usable(reads, min_mapq, **include), min_base_qual)
-    plain = plain.join(loci.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
-    own = plain.groupBy("chrom", "pos", "qname").agg(F.min_by("base", "ordinal").alias("base")).where("base != 'N'")
-    counts = own.groupBy("chrom", "pos", "base").agg(F.count("*").cast("int").alias("n"))
-    depth = counts.groupBy("chrom", "pos").agg(F.sum("n").cast("int").alias("normal_depth"))
-    base = loci.join(depth, ["chrom", "pos"], "left").na.fill(0, ["normal_depth"])
-    shown = ["tumor_sample_id", "chrom", "pos", "tumor_alt_allele", F.lit(normal_sample).alias("normal_sample_id")]
-    anchor = base.select(*shown, F.lit(None).cast("string").alias("normal_alt_allele"), "normal_depth", F.lit(0).alias("normal_alt_count"))
-    other = base.join(counts, ["chrom", "pos"]).where("base != ref_allele").select(*shown, F.col("base").alias("normal_alt_allele"), "normal_depth", F.col("n").alias("normal_alt_count"))
-    return anchor.unionByName(other)
+    plain = _plain(by_fragment(usable(reads, min_mapq, **include)), min_base_qual)
+    # letters as numbers, which a hash aggregation can hold
+    own = plain.groupBy("chrom", "pos", "qname").agg(F.min_by(F.ascii("base"), "ordinal").alias("letter"))
+    counts = own.groupBy("chrom", "pos", "letter").agg(F.count("*").cast("int").alias("normal_alt_count")).withColumn("normal_alt_allele", F.char("letter")).where("normal_alt_allele != 'N'")
+    place = counts.groupBy("chrom", "pos").agg(F.sum("normal_alt_count").cast("int").alias("normal_depth"), F.collect_list(F.struct("normal_alt_allele", "normal_alt_count")).alias("seen"))
+    anchor = F.array(F.struct(F.lit(None).cast("string").alias("normal_alt_allele"), F.lit(0).alias("normal_alt_count")))
+    others = F.coalesce(F.filter("seen", lambda x: x["normal_alt_allele"] != F.col("ref_allele")), F.slice(anchor, 1, 0))
+    rows = loci.join(place, ["chrom", "pos"], "left").withColumn("e", F.explode(F.concat(anchor, others)))
+    return rows.select("tumor_sample_id", "chrom", "pos", "tumor_alt_allele", F.lit(normal_sample).alias("normal_sample_id"), "e.normal_alt_allele", F.coalesce("normal_depth", F.lit(0)).alias("normal_depth"), "e.normal_alt_count")

@@ -248,3 +248,9 @@ def test_cigars(spark):
 def test_too_few_bases_are_an_error(spark):
     with pytest.raises(Exception, match="fewer bases"):
         pileup.bases(reads(spark, [read("q", 10, "ACG", cigar="5M")])).select("base").collect()
+
+
+def test_normal_evidence_has_no_python_and_looks_up_once(spark):
+    tumor = spark.createDataFrame([("t", "chr1", 12, "C", "T")], "tumor_sample_id string, chrom string, pos long, ref_allele string, alt_allele string").withColumn("sample_id", F.lit("t"))
+    plan = _plan(pileup.normal_evidence(tumor, _small(spark)[0], "N"))
+    assert "MapInArrow" not in plan and plan.count("Join") <= 1
