@@ -56,7 +56,9 @@ def windows(loci: DataFrame, reference: DataFrame, flank: int = 10, chunk: int =
 
     ``reference`` is (chrom, chunk_start, seq) with chunks of ``chunk`` bases. A
     place meets its own chunk and, near a border, the neighbour's edge, by
-    equi-joins; loci of chromosomes that the reference lacks are dropped.
+    equi-joins; loci of chromosomes that the reference lacks are dropped. ``loci``
+    is used twice: distinct rows of what is needed are planned once, since their
+    exchange is the same, while a wider plan is pruned differently at each use.
     """
     spots = loci.select("chrom", "pos").distinct()
     at = lambda p: F.floor(F.greatest(p, F.lit(0)) / chunk)

@@ -120,7 +120,8 @@ def _(spark, sf_dir):
     f"{_PILEUP} SELECT DISTINCT chrom, pos, alt_allele, CASE WHEN pos >= 1 AND pos + 1 < {len(GENOME)} THEN substr('{GENOME}', CAST(pos AS INT), 3) END AS trinuc_context FROM out",
 )
 def _(spark, sf_dir):
-    loci = annotate.windows(_loci(spark, sf_dir), _reference(spark), 10, 64)
+    loci = _loci(spark, sf_dir).select("chrom", "pos", "alt_allele", "variant_type").distinct()
+    loci = annotate.windows(loci, _reference(spark), 10, 64)
     return annotate.context(loci).select("chrom", "pos", "alt_allele", "trinuc_context").distinct()
 
 

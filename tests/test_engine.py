@@ -254,3 +254,12 @@ def test_normal_evidence_has_no_python_and_looks_up_once(spark):
     tumor = spark.createDataFrame([("t", "chr1", 12, "C", "T")], "tumor_sample_id string, chrom string, pos long, ref_allele string, alt_allele string").withColumn("sample_id", F.lit("t"))
     plan = _plan(pileup.normal_evidence(tumor, _small(spark)[0], "N"))
     assert "MapInArrow" not in plan and plan.count("Join") <= 1
+
+
+@pytest.mark.parametrize("name", ["p16_context"])
+def test_loci_are_piled_up_once(spark, name):
+    """Two scans: reads counted singly, and reads by fragment."""
+    from cohortspark.plans import engine
+
+    plan = _plan(engine.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan parquet") == 2
