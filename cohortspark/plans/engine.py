@@ -127,7 +127,7 @@ def _(spark, sf_dir):
 
 @query("p17_p18_repeats", None)
 def _(spark, sf_dir):
-    loci = annotate.windows(_loci(spark, sf_dir), _reference(spark), 10, 64)
+    loci = annotate.windows(_loci(spark, sf_dir).select("chrom", "pos").distinct(), _reference(spark), 10, 64)
     return annotate.with_repeats(loci).select("chrom", "pos", "homopolymer_len", "str_period", "str_len").distinct()
 
 

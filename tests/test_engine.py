@@ -256,7 +256,7 @@ def test_normal_evidence_has_no_python_and_looks_up_once(spark):
     assert "MapInArrow" not in plan and plan.count("Join") <= 1
 
 
-@pytest.mark.parametrize("name", ["p16_context"])
+@pytest.mark.parametrize("name", ["p16_context", "p17_p18_repeats"])
 def test_loci_are_piled_up_once(spark, name):
     """Two scans: reads counted singly, and reads by fragment."""
     from cohortspark.plans import engine
