@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.numeric import ratio
 from .filters import parse_region
 from .intervals import join_points, last_interval
-from .pileup import DUPLICATE, LOCUS, PAIRED, PROPER, READ1, REVERSE, SECONDARY, SUPPLEMENTARY, bases
+from .pileup import DUPLICATE, LOCUS, PAIRED, PROPER, READ1, REVERSE, SECONDARY, SUPPLEMENTARY, bases, by_fragment
 
 INTEGER = ["total_depth", "fwd_depth", "rev_depth", "raw_read_depth", "overlap_depth"]
 FRACTION = ["frac_dup", "frac_overlap", "mean_mapq", "frac_mapq0", "frac_low_mapq", "mean_base_qual", "frac_low_bq", "gc_content"]
@@ -28,22 +28,25 @@ def tally(reads: DataFrame, min_mapq: int = 0, min_base_qual: int = 20, low_mapq
     duplicates and low mapping qualities are counted, then dropped. With
     ``targets`` other positions are dropped before anything is counted.
     """
-    rows = bases(reads.where(F.col("flag").bitwiseAND(SECONDARY | SUPPLEMENTARY) == 0)).where(F.col("kind").isin("M", "D", "N"))
+    rows = bases(by_fragment(reads.where(F.col("flag").bitwiseAND(SECONDARY | SUPPLEMENTARY) == 0))).where(F.col("kind").isin("M", "D", "N"))
     if targets is not None:
         rows = join_points(rows, targets.select("chrom", "start", "end"), how="left_semi")
     dup = F.col("flag").bitwiseAND(DUPLICATE) != 0
     own = ~dup & (F.col("mapq") >= min_mapq) & (F.col("kind") == "M")
     proper = own & (F.col("flag").bitwiseAND(PAIRED | PROPER | READ1) == PAIRED | PROPER | READ1) & (F.col("tlen") != 0)
     size, low = F.abs("tlen"), F.col("qual") < min_base_qual
+    forward, first = F.col("flag").bitwiseAND(REVERSE) == 0, F.col("flag").bitwiseAND(READ1) != 0
     when = lambda c, x: F.when(c, x)
+    # numbers alone, which a hash aggregation can hold
     fragment = rows.groupBy(*LOCUS, "qname").agg(
         F.count("*").alias("raw"), F.count_if(dup).alias("dups"), F.count_if(~dup).alias("live"), F.sum(when(~dup, F.col("mapq"))).alias("mapq_sum"), F.count_if(~dup & (F.col("mapq") == 0)).alias("mapq0"),
         F.count_if(~dup & (F.col("mapq") < low_mapq)).alias("mapq_low"), F.count_if(own).alias("n"), F.sum(when(own, F.col("qual"))).alias("bq_sum"), F.count_if(own & low).alias("bq_low"), F.min(when(own, F.col("qual"))).alias("bq_min"),
         F.max(when(own, F.col("qual"))).alias("bq_max"), F.sum(when(proper, size)).alias("is_sum"), F.min(when(proper, size)).alias("is_min"), F.max(when(proper, size)).alias("is_max"), F.count_if(proper).alias("is_n"),
-        F.min_by(F.col("flag").bitwiseAND(REVERSE) == 0, when(own, F.struct((F.col("flag").bitwiseAND(READ1) == 0).cast("int"), "ordinal"))).alias("first_fwd"),
-        F.min_by(F.col("flag").bitwiseAND(REVERSE) == 0, when(own, F.col("ordinal"))).alias("early_fwd"),
+        F.min(when(own & forward, F.col("ordinal"))).alias("fwd"), F.min(when(own & ~forward, F.col("ordinal"))).alias("rev"), F.min(when(own & first & forward, F.col("ordinal"))).alias("fwd1"), F.min(when(own & first & ~forward, F.col("ordinal"))).alias("rev1"),
     )
-    fwd = F.when(F.col("n") == 2, F.col("first_fwd")).otherwise(F.col("early_fwd"))
+    # the earliest read's strand, of two reads the first one's; of one ordinal the forward read counts as the earlier
+    ahead = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) <= F.col(b)))
+    fwd = F.when((F.col("n") == 2) & F.coalesce("fwd1", "rev1").isNotNull(), ahead("fwd1", "rev1")).otherwise(ahead("fwd", "rev"))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     depth, over = F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 2)
     live, n = F.sum("live"), F.sum("n")

@@ -263,3 +263,17 @@ def test_loci_are_piled_up_once(spark, name):
 
     plan = _plan(engine.queries()[name](spark, "/root/testdata/sf0.001"))
     assert plan.count("FileScan parquet") == 2
+
+
+def test_coverage_has_no_python_and_hash_aggregates(spark):
+    plan = _plan(coverage.tally(_small(spark)[0]))
+    assert "MapInArrow" not in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_strand_of_reads_of_one_ordinal(spark):
+    """It does not depend on the order of the rows."""
+    rows = [read("q", 50, "T", flag=f) for f in (0x63, 0x93, 0x93)]
+    for some in (rows, rows[::-1]):
+        r = reads(spark, some).withColumn("read_ordinal", F.lit(1).cast("long")).coalesce(1)
+        x = coverage.tally(r).first()
+        assert (x.total_depth, x.fwd_depth, x.rev_depth) == (1, 1, 0)
