@@ -61,12 +61,16 @@ def by_fragment(reads: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def bases(reads: DataFrame) -> DataFrame:
-    """A row for each aligned base or event, in the reads' partitions; ``seq`` is the whole read."""
+    """A row for each aligned base or event, in the reads' partitions; ``seq`` is the whole read.
+
+    ``file_row``, the reads' order in their files, is kept where they have it.
+    """
+    more = [c for c in ("file_row",) if c in reads.columns]
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
     hard = F.when(reverse, F.regexp_extract("cigar", r"[MIDNSHP=X](\d+)H$", 1)).otherwise(F.regexp_extract("cigar", r"^(\d+)H", 1))
     tag = lambda k: F.try_element_at("tags", F.lit(k)).cast("int")
     blocks = reads.select(
-        "sample_id", "chrom", "qname", F.col("read_ordinal").alias("ordinal"), "flag", "mapq", "tlen", F.col("pos").alias("start"), F.upper("seq").alias("seq"), "quals", "cigar", "tags", F.explode(_walk(F.col("cigar"))).alias("b"),
+        "sample_id", "chrom", "qname", F.col("read_ordinal").alias("ordinal"), "flag", "mapq", "tlen", F.col("pos").alias("start"), F.upper("seq").alias("seq"), "quals", "cigar", "tags", *more, F.explode(_walk(F.col("cigar"))).alias("b"),
     )
     rows = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b.rows") - 1)))
     kind = F.col("b.kind")
@@ -76,7 +80,7 @@ def bases(reads: DataFrame) -> DataFrame:
     size = F.when(kind.isin("I", "d"), F.col("b.size")).otherwise(1)
     return rows.select(
         "sample_id", "chrom", (F.col("start") + F.col("b.ref") + F.col("i")).alias("pos"), "qname", "ordinal", kind.alias("kind"), base.alias("base"), size.alias("size"), F.when(kind == "M", F.get("quals", at)).alias("qual"), at.alias("at"), "flag", "mapq", "tlen",
-        "seq", F.coalesce(F.when(hard != "", hard).cast("int"), F.lit(0)).alias("hard5"), tag("aD").alias("ab"), tag("bD").alias("ba"), tag("cD").alias("cd"),
+        "seq", F.coalesce(F.when(hard != "", hard).cast("int"), F.lit(0)).alias("hard5"), tag("aD").alias("ab"), tag("bD").alias("ba"), tag("cD").alias("cd"), *more,
     )
 
 
@@ -278,12 +282,14 @@ def normal_evidence(tumor: DataFrame, reads: DataFrame, normal_sample: str, min_
     """For each tumor locus an anchor row with the normal's depth, and a row for each of its alleles.
 
     Depth counts fragments whose first read there is not N; the reference base
-    gives no row. All loci are looked up in one join, not one by one.
+    gives no row. All loci are looked up in one join, not one by one. Of reads of one
+    ordinal the first is that of the least ``file_row``, or of the least base without this column.
     """
     loci = tumor.select(F.col("sample_id").alias("tumor_sample_id"), "chrom", "pos", "ref_allele", F.col("alt_allele").alias("tumor_alt_allele")).distinct()
     plain = _plain(by_fragment(usable(reads, min_mapq, **include)), min_base_qual)
     # letters as numbers, which a hash aggregation can hold
-    own = plain.groupBy("chrom", "pos", "qname").agg(F.min_by(F.ascii("base"), "ordinal").alias("letter"))
+    letter = F.min_by(F.ascii("base"), "file_row") if "file_row" in plain.columns else F.min(F.ascii("base"))
+    own = plain.groupBy("chrom", "pos", "qname", "ordinal").agg(letter.alias("letter")).groupBy("chrom", "pos", "qname").agg(F.min_by("letter", "ordinal").alias("letter"))
     counts = own.groupBy("chrom", "pos", "letter").agg(F.count("*").cast("int").alias("normal_alt_count")).withColumn("normal_alt_allele", F.char("letter")).where("normal_alt_allele != 'N'")
     place = counts.groupBy("chrom", "pos").agg(F.sum("normal_alt_count").cast("int").alias("normal_depth"), F.collect_list(F.struct("normal_alt_allele", "normal_alt_count")).alias("seen"))
     anchor = F.array(F.struct(F.lit(None).cast("string").alias("normal_alt_allele"), F.lit(0).alias("normal_alt_count")))

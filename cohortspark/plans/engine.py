@@ -22,11 +22,17 @@ _READ = f"""concat('S', CAST(l_orderkey % 3 AS STRING)) AS sample_id, (l_orderke
     concat('chr', CAST(l_orderkey % 2 + 1 AS STRING)) AS chrom, CAST(l_partkey % 61 AS INT) AS mapq, CAST(l_orderkey % 300 - 100 AS INT) AS tlen"""
 
 
-def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reads(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """``placed`` adds ``file_row``: ordinals repeat where part keys are 100,000 apart, and SQL then takes the file's first read."""
     seq = ", ".join(_BASE.format(j=j) for j in range(6))
     quals = ", ".join(f"CAST(10 + (l_partkey + {j}) % 30 AS INT)" for j in range(6))
-    text = f"SELECT {_READ}, {_POS} AS pos, '6M' AS cigar, concat({seq}) AS seq, array({quals}) AS quals, map('cD', CAST(l_partkey % 7 AS INT)) AS tags FROM {{lineitem}}"
-    return spark.sql(text, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    text = f"SELECT {_READ}, {_POS} AS pos, '6M' AS cigar, concat({seq}) AS seq, array({quals}) AS quals, map('cD', CAST(l_partkey % 7 AS INT)) AS tags{', file_row' if placed else ''} FROM {{lineitem}}"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if placed:
+        names = sorted(x.rsplit("/", 1)[-1] for x in lines.inputFiles())
+        nth = F.array_position(F.array(*map(F.lit, names)), F.col("_metadata.file_name")) if len(names) > 1 else F.lit(0)
+        lines = lines.select("l_orderkey", "l_partkey", "l_linenumber", (F.shiftleft(nth.cast("long"), 40) + F.col("_metadata.row_index")).alias("file_row"))
+    return spark.sql(text, lineitem=lines)
 
 
 def _reference(spark: SparkSession) -> DataFrame:
@@ -111,7 +117,7 @@ def _(spark, sf_dir):
     UNION ALL SELECT tumor_sample_id, chrom, pos, tumor_alt_allele, 'S2', base, normal_depth, n FROM b JOIN cc USING (chrom, pos) WHERE base <> ref_allele""",
 )
 def _(spark, sf_dir):
-    reads = _reads(spark, sf_dir)
+    reads = _reads(spark, sf_dir, placed=True)
     return pileup.normal_evidence(_loci(spark, sf_dir).where("sample_id = 'S1'"), reads.where("sample_id = 'S2'"), "S2", 10, 15)
 
 

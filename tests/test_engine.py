@@ -176,6 +176,34 @@ def test_normal_evidence(spark):
     assert got == {(45, None, 10, 0), (45, "T", 10, 3), (200, None, 0, 0)}
 
 
+def test_normal_evidence_of_reads_of_one_ordinal(spark, tmp_path):
+    """As SQL has it on one thread: the first read of the files counts. Part keys 100,000 apart give many such reads."""
+    import duckdb
+
+    from cohortspark.plans import engine
+
+    rng = random.Random(3)
+    (tmp_path / "lineitem.parquet").mkdir()
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE rows (l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT)")
+    for k in range(15):  # an order once in a file, since SQL takes the rows of a vector base by base
+        con.executemany("INSERT INTO rows VALUES (?, ?, ?)", [(o, 100000 * rng.randrange(6) + rng.randrange(4), rng.randint(1, 7)) for o in rng.sample(range(300), 100)])
+        con.execute(f"COPY rows TO '{tmp_path}/lineitem.parquet/part-{k:02}.parquet'").execute("DELETE FROM rows")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(engine.oracle_sql()["q8_j21_normal_evidence"]).fetchall()
+    got = [tuple(x) for x in engine.queries()["q8_j21_normal_evidence"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_normal_evidence_takes_the_first_row_of_an_ordinal(spark):
+    tumor = spark.createDataFrame([("t", "chr1", 50, "C", "T")], "sample_id string, chrom string, pos long, ref_allele string, alt_allele string")
+    r = reads(spark, [read("q", 50, b) for b in "GTA"]).withColumn("read_ordinal", F.lit(1).cast("long"))
+    for order, base in (({"G": 2, "T": 1, "A": 3}, "T"), ({"G": 1, "T": 2, "A": 3}, "G")):
+        placed = r.withColumn("file_row", F.expr("CASE seq " + " ".join(f"WHEN '{b}' THEN {k}L" for b, k in order.items()) + " END"))
+        assert [(x.normal_alt_allele, x.normal_alt_count) for x in pileup.normal_evidence(tumor, placed, "N").orderBy("normal_alt_count").collect()] == [(None, 0), (base, 1)]
+    assert [x.normal_alt_allele for x in pileup.normal_evidence(tumor, r, "N").orderBy("normal_alt_count").collect()] == [None, "A"]
+
+
 def test_track(spark):
     p = spark.createDataFrame([("1", 40), ("chr1", 70), ("chr1", 95)], "chrom string, pos long")
     scores = spark.createDataFrame([("chr1", 30, 60, 0.9), ("chr1", 60, 90, 0.3)], "chrom string, start long, end long, score double")
